@@ -1,17 +1,61 @@
-"""The corpus pipeline; stages follow."""
+"""A corpus pipeline: five stages over documents, each on the rows that the one before kept.
+
+quality drops documents whose probability of a passing grade is below a half; lines deletes later copies of repeated line
+runs and the documents that are nothing else; near_copies keeps the document with the smallest id of each SimHash
+component; mixture schedules documents so that no source is repeated more than twice as often as another and each
+document is shown at least once; tokens encodes the texts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.llm.bpe import encode
+from loam.llm.common import Table, load
+from loam.llm.line_dedup import line_dedup
+from loam.llm.mixing import mix
+from loam.llm.quality import keep_quality
+from loam.llm.simhash import keep_one
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good; a document passes with grade 1 or more."""
+    grades = load(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    return keep_quality(docs, grades, pass_grade=1, cut=0.5)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of two lines or more; n_chars follows the text. A text that loses all its lines goes."""
+    done = line_dedup(docs, min_lines=2).filter("line_dedup.n_removed < line_dedup.n_lines")
+    changed = F.col("line_dedup.n_removed") > 0
+    return done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles; fingerprints within four bits, which stands for a similarity well above 0.8."""
+    return keep_one(docs, k=5, radius=4)
 
-STAGES: list = []
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs, repeat_limit=2.0).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256: one row for each scheduled document."""
+    coded = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
+
+#: Fingerprints, fitted weights and byte-pair merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, applied to documents; each stage's rows are written and read again."""
-    from loam.llm.common import Table, load
-
+    """The stages in order, applied to documents; each one's rows are written and read again."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = Table(stage(spark, docs, sf_dir), name).df

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, body
+from .common import Table, body, small_side
 from .graph import components
 
 BITS = 64
@@ -169,3 +169,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 4) -> DataFrame:
+    """docs without the rows whose id is not the smallest of its component; rows that repeat an id stay together."""
+    groups = Table(simhash_components(docs, id_col, text_col, k, radius), "groups").df
+    losers = Table(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "losers").df
+    losers = small_side(losers, losers.count())
+    return docs.join(losers, docs[id_col] == losers["doc_id"], "left_anti")
