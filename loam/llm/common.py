@@ -85,7 +85,7 @@ def row_slices(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their bytes, their offsets) in pieces of about `most` bytes of text, whatever the batch size."""
     for batch in batches:
         data, off = text_bytes(batch.column(batch.schema.get_field_index(text)))

@@ -11,8 +11,8 @@ them stably gives the order of the longer suffixes, and their common prefixes fo
 Columns come one after another from a temporary file, so a task holds a few numbers a segment. Suffixes with a common prefix
 of ``width`` are equal strings: the earliest stays, the others are marked.
 
-Of equal segments in one block of a map task only the earliest is sent on, the others are marked at once; so a passage
-that very many documents share reaches the shuffle about once a block.
+Of equal segments in one map task only the earliest is sent on, the others are marked at once; so a passage
+that very many documents share reaches the shuffle about once a task.
 
 Defined results: a null text counts as empty; ids order the documents (null first), rows with equal ids by a hash of
 their text; rows that repeat both are one document and get the same result; texts shorter than ``width`` lose nothing;
@@ -34,7 +34,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Table, blocks, body, small_side
 
-KEY = 32
+KEY = 28
+#: Bytes of text worked on at once, so that the arrays over them stay in the processor's cache.
+CACHED = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -73,14 +75,14 @@ def anchor_runs(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     if len(data) < width:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     h = key_hashes(data)
-    span = width - KEY + 1  # keys in a string
-    least, at, have = h.copy(), np.arange(len(h), dtype=np.int32), 1
+    span, have = width - KEY + 1, 1  # keys in a string
+    place = max(24, len(data).bit_length())
+    least = h & np.uint64((1 << 64) - (1 << place)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost
     while have < span:
         step = min(have, span - have)
-        left = least[:-step] <= least[step:]
-        at = np.where(left, at[:-step], at[step:])
-        least = np.where(left, least[:-step], least[step:])
+        least = np.minimum(least[:-step], least[step:])
         have += step
+    at = (least & np.uint64((1 << place) - 1)).astype(np.int64)
     # strings that lie within one text
     inside = np.zeros(len(data) + 1, np.int32)
     size = np.diff(off)
@@ -113,19 +115,11 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], reach[np.r_[first[1:], len(lo)] - 1] if len(first) else reach
 
 
-def rank_rows(*columns: pa.Array) -> np.ndarray:
-    """Rank of each row by the columns in turn, nulls first; equal rows get ranks in their order."""
-    table = pa.table(list(columns), names=[str(i) for i in range(len(columns))])
-    by = pc.sort_indices(table, sort_keys=[(n, "ascending") for n in table.column_names], null_placement="at_start").to_numpy()
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
-    return rank
-
-
-def mark_collection(parts: pa.Array, lo_col: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
+def mark_collections(group: np.ndarray, parts: pa.Array, lo_col: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
     """marks[i, s]: the string from column s of segment i equals one of a segment of smaller rank.
 
-    parts: bytes of the segments; lo_col: the column of each one's first byte.
+    group: ascending number of each segment's collection; parts: bytes of the segments; lo_col: the column of each one's
+    first byte. Collections are worked on side by side, a round for all of them; orders never mix them.
     """
     m, columns, starts = len(parts), 2 * width - KEY, width - KEY + 1
     _, o, d = parts.buffers()
@@ -133,6 +127,7 @@ def mark_collection(parts: pa.Array, lo_col: np.ndarray, rank: np.ndarray, width
     raw = np.frombuffer(d, np.uint8)
     size = np.diff(off)
     marks = np.zeros((m, starts), bool)
+    group = group.astype(np.int64) << 9  # order keeps a collection's segments together, so this needs no reordering
     with tempfile.TemporaryFile() as f:
         for j in range(columns - 1, -1, -1):  # in the order in which they are read
             at = j - lo_col
@@ -142,9 +137,9 @@ def mark_collection(parts: pa.Array, lo_col: np.ndarray, rank: np.ndarray, width
         order, lcp = np.arange(m), np.zeros(m, np.int32)  # lcp[i]: of the suffixes at places i - 1 and i
         for j in range(columns - 1, -1, -1):
             transform = np.frombuffer(f.read(2 * m), np.int16)[order]  # symbols before the suffixes, in their order
-            by = np.argsort(transform, kind="stable")
-            symbol = transform[by]
-            same = np.r_[False, (symbol[1:] == symbol[:-1]) & (symbol[1:] > 0)]
+            by = np.argsort(group | transform, kind="stable")  # nearly in order already
+            symbol = (group | transform)[by]
+            same = np.r_[False, (symbol[1:] == symbol[:-1]) & (symbol[1:] & 0x1FF > 0)]
             to = np.flatnonzero(same)
             longer = np.zeros(m, np.int32)
             if len(to):
@@ -173,66 +168,81 @@ def repeat_filter(found: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, collection: int = 24 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, collection: int = 3 << 20, together: int = 64 << 20) -> DataFrame:
     """(doc_id, tag, spans): merged byte ranges to remove of each document that has any; tag is the text's XXH64.
 
-    collection: bytes of segments that a task holds at once, unless a single anchor has more.
+    collection: bytes of segments that a task sorts at once, unless a single anchor has more; together: bytes of
+    segments among which a map task looks for equal ones.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body(text_col)).alias("tag"), body(text_col).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in blocks(batches, "text"):
-            h, n = np.unique(anchor_runs(data, off, width)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
+
+        held: list[np.ndarray] = []
+        for _, data, off in blocks(batches, "text", CACHED):
+            held.append(anchor_runs(data, off, width)[0])
+            if sum(map(len, held)) > 1 << 20:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
 
     sent = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs.select("text").mapInArrow(keys, "h long, n tinyint")))
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    segment = T.StructType([T.StructField("h", T.LongType()), id_field, T.StructField("tag", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("part", T.BinaryType())])
+    segment = T.StructType([T.StructField("h", T.LongType()), id_field, T.StructField("tag", T.LongType()), T.StructField("place", T.LongType()), T.StructField("part", T.BinaryType())])
     segment_arrow = to_arrow_schema(segment)
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments to send, and, with a null part, ranges marked already."""
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Runs that pass the filter, block by block: hash, row, (id, tag) of the block's rows, start and anchor in the text, bytes."""
         bitmap, bits = sent.value
-        for rows, data, off in blocks(batches, "text"):
+        for rows, data, off in blocks(batches, "text", CACHED):
             h, anchor, lo, hi = anchor_runs(data, off, width)
             slot = (h >> np.uint64(64 - bits)).astype(np.int64)
             keep = bitmap[slot >> 5] >> (slot & 31).astype(np.uint32) & 1 > 0
             h, anchor, lo, hi = h[keep], anchor[keep], lo[keep], hi[keep]
-            if not len(h):
-                continue
             of = np.searchsorted(off, lo, side="right") - 1
-            rank = rank_rows(rows.column(0), rows.column(1))[of]
-            rank = np.lexsort((lo, rank)).argsort(kind="stable")
-            same = rank_equal_documents(rows, of, lo - off[of])
-            parts = cut_bytes(data, lo, hi - lo + width)
-            code = parts.dictionary_encode().indices.to_numpy()
-            least = np.full(int(code.max()) + 1, len(code), np.int64)
-            np.minimum.at(least, code, rank)
-            by_rank = np.empty(len(code), np.int64)
-            by_rank[rank] = np.arange(len(code))
-            leader = by_rank[least[code]]
-            done = (leader != np.arange(len(code))) & (same != same[leader])  # a repeated row is no earlier document
-            send = np.flatnonzero(leader == np.arange(len(code)))
-            m_lo, m_hi = merged(lo[done], hi[done] + width)
-            m_of = np.searchsorted(off, m_lo, side="right") - 1
-            # ranges of neighbouring texts may touch: cut them at the texts' ends
-            pieces = [(o, a, min(b, off[o + 1])) for o, a, b in zip(m_of.tolist(), m_lo.tolist(), m_hi.tolist())]
-            extra = []
-            for (o, a, e), b in zip(pieces, m_hi.tolist()):
-                while e < b:
-                    o = int(np.searchsorted(off, e, side="right")) - 1
-                    extra.append((o, e, min(b, int(off[o + 1]))))
-                    e = extra[-1][2]
-            pieces += extra
-            take = lambda i: [c.take(pa.array(i, pa.int64())) for c in rows.columns[:2]]
-            o = of[send]
-            yield pa.RecordBatch.from_arrays([pa.array(h[send].view(np.int64)), *(c.cast(f.type) for c, f in zip(take(o), list(segment_arrow)[1:3])), pa.array(anchor[send] - off[o]), pa.array(lo[send] - off[o]), pa.array(hi[send] - off[o]), parts.take(pa.array(send))], schema=segment_arrow)
-            if pieces:
-                o, a, b = (np.array(x, np.int64) for x in zip(*pieces))
-                none = pa.nulls(len(o), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, *(c.cast(f.type) for c, f in zip(take(o), list(segment_arrow)[1:3])), none, pa.array(a - off[o]), pa.array(b - off[o]), pa.nulls(len(o), pa.binary())], schema=segment_arrow)
-
-    made = Table(docs.mapInArrow(segments, segment), "segments")
+            yield h, of, rows.select([0, 1]), lo - off[of], anchor - lo, cut_bytes(data, lo, hi - lo + width)
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of equal segments the earliest, to be sent on; the others, with a null part, as ranges marked already."""
+        held, size = [], 0
+        for c in candidates(batches):
+            held.append(c)
+            size += c[5].nbytes
+            if size > together:
+                yield from combined(held)
+                held, size = [], 0
+        if held:
+            yield from combined(held)
+
+    def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        base = np.r_[0, np.cumsum([x[2].num_rows for x in held])]
+        ids = pa.concat_arrays([x[2].column(0) for x in held]), pa.concat_arrays([x[2].column(1) for x in held])
+        h, lo, rel = (np.concatenate([x[i] for x in held]) for i in (0, 3, 4))
+        of = np.concatenate([x[1] + b for x, b in zip(held, base)])
+        parts = pa.concat_arrays([x[5] for x in held])
+        if not len(h):
+            return
+        doc = dense_ranks(*ids)[of]
+        code = parts.dictionary_encode().indices.to_numpy()
+        place = doc << 32 | lo  # order of segments; equal for the same place of a repeated row
+        by = np.lexsort((place, code))
+        first = np.flatnonzero(np.r_[True, code[by][1:] != code[by][:-1]])
+        earliest = np.repeat(place[by][first], np.diff(np.r_[first, len(by)]))
+        send, done = by[first], by[place[by] != earliest]
+        take = lambda i: [c.take(pa.array(of[i])).cast(f.type) for c, f in zip(ids, list(segment_arrow)[1:3])]
+        yield pa.RecordBatch.from_arrays([pa.array(h[send].view(np.int64)), *take(send), pa.array(lo[send] << 8 | rel[send]), parts.take(pa.array(send))], schema=segment_arrow)
+        if len(done):
+            size = np.diff(np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1])
+            done = done[np.argsort(of[done] << 32 | lo[done], kind="stable")]
+            a, b = of[done] << 32 | lo[done], of[done] << 32 | lo[done] + size[done]  # texts are far apart, so ranges join within one only
+            x, y = merged(a, b)
+            which = done[np.searchsorted(a, x)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[which].view(np.int64)), *take(which), pa.array((x & 0xFFFFFFFF) << 32 | y - x), pa.nulls(len(x), pa.binary())], schema=segment_arrow)
+
     ranges = T.StructType([id_field, T.StructField("tag", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
     ranges_arrow = to_arrow_schema(ranges)
 
@@ -256,24 +266,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in collections(batches):
+            done = t.filter(pc.is_null(t["part"])).combine_chunks()
+            if done.num_rows:
+                place = column(done, "place").to_numpy()
+                yield pa.RecordBatch.from_arrays([column(done, "doc_id").cast(ranges_arrow.field(0).type), column(done, "tag"), pa.array(place >> 32), pa.array((place >> 32) + (place & 0xFFFFFFFF))], schema=ranges_arrow)
+            t = t.filter(pc.is_valid(t["part"])).combine_chunks()
             h = t["h"].to_numpy()
+            if len(h) < 2:
+                continue
             many = np.r_[h[1:] == h[:-1], False] | np.r_[False, h[1:] == h[:-1]]
             t = t.filter(pa.array(many)).combine_chunks()
             if not t.num_rows:
                 continue
-            col = lambda n: t[n].combine_chunks() if not isinstance(t[n].combine_chunks(), pa.ChunkedArray) else t[n].combine_chunks().chunk(0)
-            anchor, lo = col("anchor").to_numpy(), col("lo").to_numpy()
-            rank = dense_ranks(col("doc_id"), col("tag"), col("anchor"))
-            marks = mark_collection(col("part"), lo - anchor + width - KEY, rank, width)
+            doc_id, tag = column(t, "doc_id"), column(t, "tag")
+            place = column(t, "place").to_numpy()
+            lo, rel = place >> 8, place & 0xFF
+            marks = mark_collections(np.cumsum(np.r_[0, np.diff(t["h"].to_numpy()) != 0]), column(t, "part"), width - KEY - rel, dense_ranks(doc_id, tag) << 32 | lo + rel, width)
             edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, s = np.nonzero(edge == 1)
             _, e = np.nonzero(edge == -1)
-            base = anchor[row] - (width - KEY)
+            base = (lo + rel)[row] - (width - KEY)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([col("doc_id").take(take).cast(ranges_arrow.field(0).type), col("tag").take(take), pa.array(base + s), pa.array(base + e - 1 + width)], schema=ranges_arrow)
+            yield pa.RecordBatch.from_arrays([doc_id.take(take).cast(ranges_arrow.field(0).type), tag.take(take), pa.array(base + s), pa.array(base + e - 1 + width)], schema=ranges_arrow)
 
-    sorted_parts = made.df.filter("part is not null").repartition("h").sortWithinPartitions("h")
-    found = sorted_parts.mapInArrow(mark, ranges).unionByName(made.df.filter("part is null").select("doc_id", "tag", "lo", "hi"))
+    found = docs.mapInArrow(segments, segment).repartition("h").sortWithinPartitions("h").mapInArrow(mark, ranges)
     listed = found.groupBy("doc_id", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
     def join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,14 +299,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     out = T.StructType([id_field, T.StructField("tag", T.LongType()), T.StructField("lo", T.ArrayType(T.LongType())), T.StructField("hi", T.ArrayType(T.LongType()))])
     spans = Table(listed.mapInArrow(join_ranges, out), "spans").df
-    made.drop()
     return spans
 
 
-def rank_equal_documents(rows: pa.RecordBatch, of: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A number for each (id, tag, start) of a block: equal for the same place of a repeated row."""
-    doc = dense_ranks(rows.column(0), rows.column(1))[of]
-    return doc << 32 | start
+def column(t: pa.Table, name: str) -> pa.Array:
+    """A column as one array."""
+    c = t[name].combine_chunks()
+    return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
 
 
 def dense_ranks(*columns: pa.Array) -> np.ndarray:
