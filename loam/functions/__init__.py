@@ -1 +1 @@
-
+"""Column functions; everything here stays inside the JVM."""

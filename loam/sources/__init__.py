@@ -1 +1 @@
-
+"""Readers of uploaded files."""
