@@ -168,7 +168,7 @@ def repeat_filter(found: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, collection: int = 3 << 20, together: int = 64 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, collection: int = 3 << 20, together: int = 32 << 20) -> DataFrame:
     """(doc_id, tag, spans): merged byte ranges to remove of each document that has any; tag is the text's XXH64.
 
     collection: bytes of segments that a task sorts at once, unless a single anchor has more; together: bytes of
@@ -194,6 +194,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     segment = T.StructType([T.StructField("h", T.LongType()), id_field, T.StructField("tag", T.LongType()), T.StructField("place", T.LongType()), T.StructField("part", T.BinaryType())])
     segment_arrow = to_arrow_schema(segment)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Runs that pass the filter, block by block: hash, row, (id, tag) of the block's rows, start and anchor in the text, bytes."""
@@ -213,10 +214,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             held.append(c)
             size += c[5].nbytes
             if size > together:
-                yield from combined(held)
+                yield from packed(list(combined(held)))
                 held, size = [], 0
         if held:
-            yield from combined(held)
+            yield from packed(list(combined(held)))
+
+    def packed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows dealt to buckets by their hash, a bucket's rows as one compressed message."""
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        bucket = (column(pa.Table.from_batches([t]), "h").to_numpy() % buckets).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0])
+        blobs = []
+        for a, b in zip(cuts, np.r_[cuts[1:], len(by)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, segment_arrow, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(t.take(pa.array(by[a:b])))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[by][cuts]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def combined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         base = np.r_[0, np.cumsum([x[2].num_rows for x in held])]
@@ -246,23 +263,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = T.StructType([id_field, T.StructField("tag", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
     ranges_arrow = to_arrow_schema(ranges)
 
-    def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Whole groups of equal anchor hashes, about `collection` bytes at a time; rows come sorted by hash."""
-        held: list[pa.Table] = []
-        size = 0
+    def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """All rows of one bucket at a time, sorted by hash; messages come sorted by bucket."""
+        now, held = None, []
         for b in batches:
-            held.append(pa.Table.from_batches([b]))
-            size += b.nbytes
-            if size > collection:
-                t = pa.concat_tables(held).combine_chunks()
-                h = t["h"].to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))
-                if cut:
-                    yield t.slice(0, cut)
-                held = [t.slice(cut)]
-                size = held[0].nbytes
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and bucket != now:
+                    yield pa.concat_tables(held).sort_by("h")
+                    held = []
+                now = bucket
+                held.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
         if held:
-            yield pa.concat_tables(held).combine_chunks()
+            yield pa.concat_tables(held).sort_by("h")
+
+    def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole groups of equal anchor hashes, about `collection` bytes at a time."""
+        for t in whole_buckets(batches):
+            h = t["h"].to_numpy()
+            step, i = max(1, collection // max(1, t.nbytes // max(1, t.num_rows))), 0
+            while i < len(h):
+                j = int(np.searchsorted(h, h[min(len(h), i + step) - 1], side="right"))
+                yield t.slice(i, j - i).combine_chunks()
+                i = j
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in collections(batches):
@@ -289,7 +311,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([doc_id.take(take).cast(ranges_arrow.field(0).type), tag.take(take), pa.array(base + s), pa.array(base + e - 1 + width)], schema=ranges_arrow)
 
-    found = docs.mapInArrow(segments, segment).repartition("h").sortWithinPartitions("h").mapInArrow(mark, ranges)
+    found = docs.mapInArrow(segments, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mark, ranges)
     listed = found.groupBy("doc_id", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
     def join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
