@@ -9,7 +9,7 @@ and overlapping windows of an interval's later members join to the maximal repea
 
 Defined results: a null text counts as empty and has one empty line; ids order the documents (null first), rows with equal
 ids by a hash of their text; rows that repeat both are one document and get the same result; an empty table gives an
-empty result; further columns stay as they are.
+empty result; further columns stay as they are, whatever their names, but for `line_dedup`.
 """
 
 from __future__ import annotations
@@ -103,12 +103,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for t in made:
         t.drop()
     runs = small_side(runs.toDF("_id", "_tag", "_lo", "_hi"), runs.count(), 300_000)
-    joined = docs.join(runs, docs[id_col].eqNullSafe(runs["_id"]) & (tag == runs["_tag"]), "left")
+    # docs packed, so that no name of theirs meets one of ours
+    held = docs.select(F.struct(*docs.columns).alias("_row"), tag.alias("_hash"))
+    own = lambda c: F.col("_row").getField(c)
+    joined = held.join(runs, own(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tag")), "left")
+    split = F.split(F.coalesce(own(text_col), F.lit("")), "\n", -1)
     # the lines between the runs: from each run's end to the next one's start
     n = F.size(split)
     starts, ends = F.concat(F.array(F.lit(0)), F.col("_hi")), F.concat(F.col("_lo"), F.array(n))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda r: F.slice(split, r["s"] + 1, r["e"] - r["s"])))
     gone = F.aggregate(F.zip_with("_hi", "_lo", lambda h, l: h - l), F.lit(0), lambda a, x: a + x)
-    text = F.when(F.col("_lo").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_lo").isNull(), own(text_col)).otherwise(F.array_join(kept, "\n"))
     facts = F.struct(n.cast("long").alias("n_lines"), F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(gone).cast("long").alias("n_removed"), F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(F.size("_lo")).cast("long").alias("n_runs"))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "line_dedup"), facts.alias("line_dedup"))
+    return joined.select(*((text if c == text_col else own(c)).alias(c) for c in docs.columns if c != "line_dedup"), facts.alias("line_dedup"))

@@ -8,7 +8,8 @@ permutation of its own, and of its last epoch the first blocks in that epoch's o
 Orders are MD5 values, so the schedule is the same wherever it is computed, and no source is sorted as a whole.
 
 Defined results: a null source counts as the empty name; a null text has no tokens; texts without tokens follow their
-block; rows that repeat an id are scheduled as separate rows; an empty table gives an empty result.
+block; a source without any tokens has weight 0 and is shown once, whatever the budget; rows that repeat an id are scheduled as
+separate rows; an empty table gives an empty result; further columns stay as they are, whatever their names, but for `mix`.
 """
 
 from __future__ import annotations
@@ -75,19 +76,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     row = F.struct(source.alias("source"), words(text_col).alias("n_tokens"), md5_int(seed, name).alias("draw"), name.alias("name"))
-    rows = docs.withColumn("mix", row)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row.alias("mix"))  # packed, so that no name of docs meets one of ours
     slim = Table(rows.select("mix.*"), "mix").df
-    sources = Table(slim.groupBy("source").agg(F.sum("n_tokens").alias("t")).filter("t > 0"), "sources").df
+    sources = Table(slim.groupBy("source").agg(F.sum("n_tokens").alias("t")), "sources").df
+    bare = sources.filter("t = 0")
     total = sources.agg(F.sum("t")).first()[0]
     if not total:
         total = 1
-    shares = sources.select("source", "t", (F.col("t") / F.lit(float(total))).alias("p"))
+    shares = sources.filter("t > 0").select("source", "t", (F.col("t") / F.lit(float(total))).alias("p"))
     a = exponent(shares, target_entropy, repeat_limit)
     z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0] or 1.0
     weight = F.pow("p", F.lit(a)) / F.lit(z)
     tokens = float(budget) if budget is not None else shares.agg(F.max(F.col("t") / weight)).first()[0] or 0.0
     plan = shares.select("source", "t", weight.alias("weight"), F.round(weight * F.lit(tokens)).cast("long").alias("b"), F.ceil(F.col("t") / F.lit(float(block_tokens))).cast("long").alias("blocks"))
-    plan = Table(plan.withColumn("epochs", F.floor(F.col("b") / F.col("t")).cast("int")).withColumn("rest", F.col("b") - F.col("epochs") * F.col("t")), "plan").df
+    plan = plan.withColumn("epochs", F.floor(F.col("b") / F.col("t")).cast("int")).withColumn("rest", F.col("b") - F.col("epochs") * F.col("t"))
+    once = bare.selectExpr("source", "t", "0d AS weight", "0L AS b", "1L AS blocks", "0 AS epochs", "0L AS rest")  # its one block of no tokens is always read in full
+    plan = Table(plan.unionByName(once), "plan").df
     plan = small_side(plan, plan.count(), 100_000)
 
     # the last epoch: which blocks are read in full, which one is cut
@@ -116,4 +120,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         md5_key(seed, F.col("_epoch"), F.col("_source"), F.col("_block")).alias("block_order"),
         md5_key(seed, F.col("_epoch"), F.col("_name")).alias("doc_order"),
     )
-    return out.select(*(F.col(c) for c in docs.columns if c != "mix"), facts.alias("mix"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "mix"), facts.alias("mix"))

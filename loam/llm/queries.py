@@ -127,7 +127,8 @@ ORACLE: dict[str, str] = {
         e AS (SELECT CASE WHEN max(p) / min(p) <= 2 THEN 0.0::DOUBLE ELSE 1 - ln(2::DOUBLE) / ln(max(p) / min(p)) END AS a FROM s),
         w AS (SELECT source, t, pow(p, a) / (SELECT sum(pow(p, a)) FROM s, e) AS weight FROM s, e),
         b AS (SELECT *, CAST(round(weight * (SELECT max(t / weight) FROM w)) AS BIGINT) AS b, CAST(ceil(t / 1e6::DOUBLE) AS BIGINT) AS blocks FROM w),
-        q AS (SELECT *, b // t AS epochs, b - (b // t) * t AS rest FROM b),
+        q AS (SELECT *, b // t AS epochs, b - (b // t) * t AS rest FROM b
+              UNION ALL SELECT source, 0, 0, 0, 1, 0, 0 FROM d GROUP BY source HAVING sum(n_tokens) = 0),
         r AS (SELECT d.*, d.draw % q.blocks AS block, q.epochs, q.rest FROM d JOIN q USING (source)),
         k AS (SELECT source, block, any_value(rest) AS rest, sum(n_tokens) AS size, any_value(md5('mix:' || epochs || ':' || source || ':' || block)) AS ord FROM r GROUP BY source, block),
         l AS (SELECT source, block, size, rest - (sum(size) OVER (PARTITION BY source ORDER BY ord, block ROWS UNBOUNDED PRECEDING) - size) AS remains FROM k),

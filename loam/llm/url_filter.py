@@ -55,5 +55,5 @@ def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", ti
     active = F.exists("spans", lambda s: (s["since"] <= F.col("_time")) & (s["until"].isNull() | (F.col("_time") < s["until"])))
     hits = hits.filter(active).groupBy("_url", "_time").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_key"))
     joined = captures.join(hits, (captures[url_col] == hits["_url"]) & (captures[time_col] == hits["_time"]), "left")
-    facts = F.struct(host(F.col(url_col)).alias("host"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_hits"), F.col("_n").isNotNull().alias("blocked"), F.col("_key").alias("first_key"))
+    facts = F.struct(host(captures[url_col]).alias("host"), F.coalesce(hits["_n"], F.lit(0)).cast("long").alias("n_hits"), hits["_n"].isNotNull().alias("blocked"), hits["_key"].alias("first_key"))
     return joined.select(*(captures[c] for c in captures.columns if c != "url_filter"), facts.alias("url_filter"))
