@@ -228,16 +228,16 @@ def binary_array(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-_caches: dict[int, Cache] = {}
+_coders: dict[int, Coder] = {}
 _kinds: list[np.ndarray] = []
 
 
-def worker_cache(key: int, ranks: dict[bytes, int], remember: int) -> Cache:
-    """Python workers serve many partitions; what they know of a vocabulary is kept."""
-    if key not in _caches:
-        _caches.clear()
-        _caches[key] = Cache(Coder(ranks), remember)
-    return _caches[key]
+def worker_coder(key: int, ranks: dict[bytes, int]) -> Coder:
+    """Python workers serve many partitions; the vocabulary's tables are kept, the words are not."""
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Coder(ranks)
+    return _coders[key]
 
 
 def kinds() -> np.ndarray:
@@ -259,7 +259,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(key, sent.value, remember)
+        cache = Cache(worker_coder(key, sent.value), remember)
         for rows, data, off in blocks(batches, "text", 4 << 20):
             starts = split_points(data, off, kinds())
             coded = binary_array(data, np.r_[starts, len(data)]).dictionary_encode()
@@ -287,7 +287,7 @@ def decode(coded: DataFrame, vocabulary: str, ids_col: str = "ids", keep: tuple[
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_cache(key, sent.value, 0).coder
+        coder = worker_coder(key, sent.value)
         opens = np.zeros(max(coder.ranks.values()) + 1, bool)
         opens[[r for t, r in coder.ranks.items() if t[:1].isspace()]] = True
         for batch in batches:
