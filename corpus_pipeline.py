@@ -1,8 +1,8 @@
 """A corpus pipeline: five stages over documents, each on the rows that the one before kept.
 
 quality drops documents whose probability of a passing grade is below a half; lines deletes later copies of repeated line
-runs and the documents that are nothing else; near_copies keeps the document with the smallest id of each SimHash
-component; mixture schedules documents so that no source is repeated more than twice as often as another and each
+runs and the documents that are nothing else; near_copies keeps the document with the smallest id of each component
+of near copies; mixture schedules documents so that no source is repeated more than twice as often as another and each
 document is shown at least once; tokens encodes the texts.
 """
 
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from loam.llm.bpe import encode
 from loam.llm.common import Table, load
+from loam.llm.jaccard import keep_one
 from loam.llm.line_dedup import line_dedup
 from loam.llm.mixing import mix
 from loam.llm.quality import keep_quality
-from loam.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles; fingerprints within four bits, which stands for a similarity well above 0.8."""
-    return keep_one(docs, k=5, radius=4)
+    """Sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return keep_one(docs, k=5, similarity=(4, 5))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
 
-#: Fingerprints, fitted weights and byte-pair merges have no SQL; tests hold the stages against brute force.
+#: Shingle hashes, fitted weights and byte-pair merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
