@@ -1,0 +1,16 @@
+"""N-gram tables of the toxicity model at a number of n-grams that no fixed table would hold."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from loam.llm.toxicity import RatioTables
+
+
+def test_ratio_tables_are_exact(spark):
+    """More n-grams than 2^21: each has its own value, others none."""
+    n = 2_500_000
+    found = spark.range(n).select(F.lit(5).alias("order"), F.lit(0).alias("kind"), (F.col("id") * 424_243).alias("key"), (F.col("id") % 1999).cast("double").alias("value"), F.lit(1).alias("w"))
+    table = RatioTables(found).tables[5, 0]
+    ids = np.arange(n)
+    assert (table.get(ids * 424_243) == ids % 1999).all()
+    assert np.isnan(table.get(ids * 424_243 + 1)).all()
