@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages over documents, each on the rows that the one before kept.
 
 quality drops documents whose probability of a passing grade is below a half; lines deletes later copies of repeated line
-runs and the documents that are nothing else; near_copies keeps the document with the smallest id of each component
+runs and long lines, and the documents that are nothing else; near_copies keeps the document with the smallest id of each component
 of near copies; mixture schedules documents so that no source is repeated more than twice as often as another and each
 document is shown at least once; tokens encodes the texts.
 """
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of two lines or more; n_chars follows the text. A text that loses all its lines goes."""
-    done = line_dedup(docs, min_lines=2).filter("line_dedup.n_removed < line_dedup.n_lines")
+    """Runs of two lines or more, and lines of 50 words or more; n_chars follows the text. A text that loses all its lines goes."""
+    done = line_dedup(docs, min_lines=2, long_words=50).filter("line_dedup.n_removed < line_dedup.n_lines")
     changed = F.col("line_dedup.n_removed") > 0
     return done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -5,7 +5,8 @@ Names are the places of a global sort: distinct prefixes are counted, range-part
 shifted by the partitions' totals, so neither a hot line nor a hot prefix meets in one task. The next round sorts
 pairs (name here, name h lines on) for twice the length. A suffix whose prefix occurs once is final and leaves. Doubling ends at the least run
 length: suffixes that still share a name form the intervals of the array whose longest common prefix is at least that,
-and overlapping windows of an interval's later members join to the maximal repeated runs, which are deleted. The earliest copy stays.
+and overlapping windows of an interval's later members join to the maximal repeated runs, which are deleted. A long line, which may hold a
+whole passage, can count as a run by itself: names of the first round tell its copies. The earliest copy stays.
 
 Defined results: a null text counts as empty and has one empty line; ids order the documents (null first), rows with equal
 ids by a hash of their text; rows that repeat both are one document and get the same result; an empty table gives an
@@ -60,10 +61,17 @@ def same_place(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, on, how).drop(b["doc_id"]).drop(b["tag"]).drop(b["pos"])
 
 
+def later(now: DataFrame) -> DataFrame:
+    """now(doc_id, tag, pos, name) -> (doc_id, tag, pos) of all but the first place of each name."""
+    first = now.groupBy("name").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"))
+    here = F.struct("doc_id", "tag", "pos")
+    return now.join(first, "name").filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "tag", "pos")
+
+
 def later_windows(lines: DataFrame, length: int) -> tuple[DataFrame, list[Table]]:
-    """lines(doc_id, tag, pos, left, line) -> (doc_id, tag, pos) of windows of `length` lines that also start earlier."""
+    """lines(doc_id, tag, pos, left, line, ...) -> (doc_id, tag, pos, n) of windows of n lines that also start earlier: n is `length`, and 1 for lines marked `long`."""
     names, scrap = number(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["line"])
-    made = [Table(lines.join(names, "line").select("doc_id", "tag", "pos", "left", F.col("place").alias("name")), "suffixes")]
+    made = [Table(lines.join(names, "line").select("doc_id", "tag", "pos", "left", "long", F.col("place").alias("name")), "suffixes")]
     scrap.drop()
     h = 1
     while h < length:
@@ -75,28 +83,31 @@ def later_windows(lines: DataFrame, length: int) -> tuple[DataFrame, list[Table]
         made.append(Table(pairs.join(names, ["name", "name2"]).select("doc_id", "tag", "pos", "left", F.col("place").alias("name")), "suffixes"))
         scrap.drop()
         h += step
-    now = made[-1].df
-    first = now.groupBy("name").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"))
-    here = F.struct("doc_id", "tag", "pos")
-    return now.join(first, "name").filter(~here.eqNullSafe(F.col("first"))).select("doc_id", "tag", "pos"), made
+    windows = later(made[-1].df).withColumn("n", F.lit(length))
+    return windows.unionByName(later(made[0].df.filter("long")).withColumn("n", F.lit(1))), made
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """All columns of docs with the text shortened, and line_dedup: struct(n_lines, n_removed, n_runs).
 
-    min_lines: least number of lines of a repeated run.
+    min_lines: least number of lines of a repeated run. long_words: a repeated line of so many words (parted by ASCII
+    white space) or more is a run by itself.
     """
     tag, split = F.xxhash64(body(text_col)), F.split(body(text_col), "\n", -1)
     lines = docs.select(F.col(id_col).alias("doc_id"), tag.alias("tag"), split.alias("lines"))
     lines = lines.select("doc_id", "tag", F.size("lines").alias("total"), F.posexplode("lines").alias("pos", "line"))
-    lines = lines.select("doc_id", "tag", F.col("pos").cast("long").alias("pos"), (F.col("total") - F.col("pos")).cast("long").alias("left"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("line"))
+    long = F.lit(False) if long_words is None else (F.length("line") >= 2 * long_words - 1) & (F.size(F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")) >= long_words)
+    lines = lines.select("doc_id", "tag", F.col("pos").cast("long").alias("pos"), (F.col("total") - F.col("pos")).cast("long").alias("left"), long.alias("long"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("line"))
     windows, made = later_windows(lines, min_lines)
-    listed = windows.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos"))
+    listed = windows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
     out = T.StructType([*listed.schema.fields[:2], T.StructField("lo", T.ArrayType(T.IntegerType())), T.StructField("hi", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs = [merged(p, p + min_lines) for p in map(np.array, b.column(2).to_pylist())]
+            lists = b.column(2)
+            pos, n = lists.values.field(0).to_numpy(), lists.values.field(1).to_numpy()
+            off = lists.offsets.to_numpy()
+            runs = [merged(pos[i:j], pos[i:j] + n[i:j]) for i, j in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i].astype(np.int32) for r in runs], pa.list_(pa.int32())) for i in (0, 1))], names=["doc_id", "tag", "lo", "hi"])
 
     runs = Table(listed.mapInArrow(run, out), "runs").df
