@@ -1,7 +1,7 @@
 """URL filters as a temporal list join.
 
 List entries are dated additions and removals of a key: a domain (it and all its subdomains) or a domain with a path
-prefix. The entries of a key become validity intervals, from an addition to the next removal, held in one row a key. A
+prefix. The host part of a key is taken without case, the path with it. The entries of a key become validity intervals, from an addition to the next removal, held in one row a key. A
 capture is evaluated as of its fetch time: its host's suffixes and path prefixes are looked up and a key counts if one of
 its intervals holds that time. Captures are reduced to distinct (url, fetch time) first and no interval is joined as a row, so neither a
 hot host nor a long list history multiplies rows.
@@ -38,12 +38,14 @@ def keys(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """entries(key, action, since) -> (key, spans array of struct(since, until)); until is null while the key is listed."""
-    events = entries.filter("key is not null and since is not null and action in ('add', 'remove')").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("since", "action"))).alias("e"))
+    name = F.substring_index("key", "/", 1)  # the host; a path keeps its case
+    listed = entries.filter("key is not null and since is not null and action in ('add', 'remove')").withColumn("key", F.concat(F.lower(name), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)")))
+    events = listed.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("since", "action"))).alias("e"))
     spans = F.filter(
         F.transform("e", lambda x, i: F.struct(x["since"].alias("since"), F.try_element_at(F.col("e"), i + 2)["since"].alias("until"), x["action"].alias("action"))),
         lambda x: (x["action"] == "add") & (x["until"].isNull() | (x["until"] > x["since"])),
     )
-    return events.select(F.lower("key").alias("key"), spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return events.select("key", spans.alias("spans"))
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
