@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import blocks, body, row_slices
+from .common import blocks, body, in_arrow, row_slices
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 columns.append(binary_array(text, at[word]))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text")).mapInArrow(run, out)
+    return in_arrow(docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text")), run, out)
 
 
 def decode(coded: DataFrame, vocabulary: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), most: int = 1 << 20) -> DataFrame:
@@ -308,4 +308,4 @@ def decode(coded: DataFrame, vocabulary: str, ids_col: str = "ids", keep: tuple[
                     text, at = gather(*binary_parts(coder.decode_words(flat.view(np.int32), run_off // 4)), runs.indices.to_numpy())
                 yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns, arrow)), binary_array(text, at[np.searchsorted(cuts, ends)])], schema=arrow)
 
-    return source.mapInArrow(run, out)
+    return in_arrow(source, run, out)

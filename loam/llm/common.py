@@ -1,10 +1,12 @@
-"""Shared helpers: scratch tables, text normalisation in Spark, and byte views of Arrow text columns."""
+"""Shared helpers: scratch tables, Arrow maps, text normalisation in Spark, and byte views of Arrow text columns."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loam-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,6 +44,35 @@ class Table:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows sent to a Python worker at once.
+ARROW_BYTES = 8 << 20
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library hold free goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most some ARROW_BYTES; a worker, which waits for its next task with what it
+    holds, gives its free memory back at the end of a partition. The batch size is set in the session unless it was already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        df.sparkSession.conf.set(name, str(ARROW_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

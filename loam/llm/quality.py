@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, blocks, body
+from .common import Table, blocks, body, in_arrow
 from .ngrams import grams, padded, slots, text_sums
 
 GRAM = 4
@@ -109,7 +109,7 @@ def features(texts: DataFrame, bits: int) -> pa.Table:
             share = [np.r_[c * (SCALE / max(c.sum(), 1)), SCALE * r].astype(np.float32) for (_, c), r in zip(found, again)]
             yield pa.RecordBatch.from_arrays([pa.array([np.r_[f, 1 << bits].astype(np.int32) for f, _ in found], pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), rows.column(1).cast(pa.int32())], names=["slots", "shares", "grade"])
 
-    return texts.mapInArrow(run, "slots array<int>, shares array<float>, grade int").toArrow()
+    return in_arrow(texts, run, "slots array<int>, shares array<float>, grade int").toArrow()
 
 
 def ordinal_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_grade: int = 1, cut: float = 0.5, sample: int = 6_000, bits: int = 17) -> DataFrame:
@@ -144,7 +144,7 @@ def score_quality(docs: DataFrame, model: CumulativeLink, pass_grade: int) -> Da
             at_least = tails[:, pass_grade - 1] if pass_grade <= tails.shape[1] else np.ones(len(tails))
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(arrow.field(0).type), pa.array(tails.sum(axis=1)), pa.array(at_least)], schema=arrow)
 
-    return docs.mapInArrow(run, out)
+    return in_arrow(docs, run, out)
 
 
 def keep_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_grade: int = 1, cut: float = 0.5, sample: int = 6_000, bits: int = 17) -> DataFrame:
@@ -157,7 +157,7 @@ def keep_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", te
         for rows, data, off in blocks(batches, text_col):
             yield rows.filter(pa.array(tail_of(data, off, weights, thresholds, bits)[:, pass_grade - 1] >= cut) if len(thresholds) >= pass_grade else pa.array(np.ones(rows.num_rows, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def tail_of(data: np.ndarray, off: np.ndarray, weights: np.ndarray, thresholds: np.ndarray, bits: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, body, small_side
+from .common import Table, body, in_arrow, small_side
 from .graph import components
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), pa.array([fingerprint(t.as_buffer().to_pybytes(), k) for t in b.column(1)], pa.int64())], schema=arrow)
 
-    return docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text")).mapInArrow(run, out)
+    return in_arrow(docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text")), run, out)
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -157,7 +157,7 @@ def links(prints: DataFrame, radius: int = 2, split: int = 200_000) -> DataFrame
             yield of(held)
 
     keys = ["v", "key", "j", "part"]
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(keyed.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
