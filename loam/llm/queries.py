@@ -39,7 +39,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted", F.col("ratio").alias("llr_per_byte"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.col("ratio").alias("llr_per_word"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

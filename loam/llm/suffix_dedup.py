@@ -143,6 +143,7 @@ class CollectionTransform:
         self.m = self.size = m
         self.piece = piece
         self.last = np.arange(m)
+        self.order = np.arange(0)  # the strings that have symbols, by place of their latest suffix
         self.transform, self.common = (self._file(np.full(m, x, np.uint8)) for x in (NONE, 0))
 
     @staticmethod
@@ -153,20 +154,25 @@ class CollectionTransform:
         return f
 
     def insert(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Insert the symbol of each string (NONE: it has none in this round) -> (string, place, common prefix with the suffix
+        """Insert the symbol of each string (NONE: it has none in this round; a string's rounds follow each other) -> (string, place, common prefix with the suffix
         before and with the one behind) of the new suffixes, by place."""
-        active = np.flatnonzero(symbols != NONE)
-        owner = active[np.argsort(self.last[active])]
+        active = symbols != NONE
+        begun = np.zeros(self.m, bool)
+        begun[self.order] = True
+        owner = np.r_[np.flatnonzero(active & ~begun), self.order[active[self.order]]]  # empty suffixes come first
         at, symbol = self.last[owner], symbols[owner]
         found = self._ranks(at, symbol, owner)
         symbol, rank, common, string = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
         starts = self.m + np.cumsum(self.total) - self.total
         place = starts[symbol] + rank
-        by = np.argsort(place)
-        place, common, string = place[by], common[by].astype(np.uint8), string[by]
+        if len(found) > 1:  # one piece is in order already
+            by = np.argsort(place)
+            place, common, string = place[by], common[by], string[by]
+        common = common.astype(np.uint8)
         new = string >= 0
         self._rewrite(at, symbols[owner], place[new], place, common)
-        self.last[string[new]] = place[new]
+        self.order = string[new]
+        self.last[self.order] = place[new]
         self.size += int(new.sum())
         behind = np.where(np.diff(place, append=-1) == 1, np.append(common[1:], np.uint8(0)), 0)
         return string[new], place[new], common[new], behind[new]
@@ -188,10 +194,10 @@ class CollectionTransform:
             filled = np.zeros(n, bool)
             filled[at[i:j] - x] = True
             by = np.argsort(b, kind="stable")
-            count = np.bincount(b, minlength=256)
-            count[NONE] = 0
-            by = by[: count.sum()]
-            ends = np.cumsum(count)
+            ends = np.searchsorted(b, np.arange(256, dtype=np.uint8), side="right", sorter=by)
+            ends[NONE] = ends[NONE - 1]
+            count = np.diff(ends, prepend=0)
+            by = by[: ends[NONE]]
             here = np.flatnonzero(count)
             first, end = (ends - count)[here], ends[here]
             new = filled[by]
