@@ -5,6 +5,8 @@ points, and its distinct pre-tokens go to an in-memory DuckDB: their bytes are t
 joins neighbouring tokens with the merge table and contracts each word's leftmost pair of least rank until none is left,
 and an ordered aggregation gives every word's ids. Decoding joins the ids with the vocabulary and aggregates the bytes
 in order. A partition keeps what it has encoded (``remember`` words at most, then it starts anew), which saves work but changes no result.
+A recursion step contracts one pair of a word, so a word of n bytes takes up to n steps over its rows; pre-tokens of more than LONG bytes, as
+in texts without blanks, are contracted in the same order with a heap instead.
 
 The vocabulary file is read on the driver and sent to the executors: its size is fixed by the tokenizer.
 
@@ -15,6 +17,8 @@ empty result.
 from __future__ import annotations
 
 import base64
+import heapq
+import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -30,6 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import blocks, body, in_arrow, row_slices
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Bytes of the longest pre-token that goes to the recursive query.
+LONG = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -127,9 +133,10 @@ DECODE = "select t.w, from_hex(string_agg(v.hex, '' order by t.pos)) as bytes fr
 class Coder:
     """Encodes and decodes distinct words in one DuckDB database; one for each Python worker and vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: str = "300MB"):
+    def __init__(self, ranks: dict[bytes, int], memory: str = "200MB"):
         self.ranks = ranks
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        self.pairs: dict[int, int] = {}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": tempfile.gettempdir()})
         self.con.execute("set preserve_insertion_order = false")
         pair, rank = [], []
         for token, r in ranks.items():
@@ -157,6 +164,10 @@ class Coder:
         ids = [whole[whole >= 0]]
         owner = [np.flatnonzero(whole >= 0)]
         rest = whole < 0
+        for w in np.flatnonzero(rest & (size > LONG)).tolist():
+            ids.append(self.contracted(words[w].as_py()))
+            owner.append(np.full(len(ids[-1]), w))
+        rest &= size <= LONG
         if rest.any():
             of = np.repeat(np.arange(n, dtype=np.int32), size)
             pos = (np.arange(len(raw)) - np.repeat(off[:-1], size)).astype(np.int32)
@@ -172,6 +183,29 @@ class Coder:
         by = np.argsort(owner, kind="stable")
         return ids[by].astype(np.int32), np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
 
+    def contracted(self, word: bytes) -> np.ndarray:
+        """Ids of a long word: its leftmost pair of least rank is contracted until none is left, by a heap of (rank, place)."""
+        if not self.pairs:
+            self.pairs = dict(self.con.sql("select pair, rank from merges").fetchall())
+        n = len(word)
+        tok, after, before = self.single[np.frombuffer(word, np.uint8)].tolist(), [*range(1, n + 1)], [*range(-1, n - 1)]
+        rank = self.pairs.get
+        heap = [(r, i) for i, (a, b) in enumerate(zip(tok, tok[1:])) if (r := rank(a << 32 | b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i] if tok[i] >= 0 else n
+            if j >= n or rank(tok[i] << 32 | tok[j]) != r:
+                continue  # one of the two is no more
+            tok[i], tok[j], after[i] = r, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (x := rank(r << 32 | tok[after[j]])) is not None:
+                    heapq.heappush(heap, (x, i))
+            if before[i] >= 0 and (x := rank(tok[before[i]] << 32 | r)) is not None:
+                heapq.heappush(heap, (x, before[i]))
+        return np.array([t for t in tok if t >= 0], np.int32)
+
     def decode_words(self, ids: np.ndarray, off: np.ndarray) -> pa.Array:
         """Bytes of each range of ids, by ordered aggregation; every range is non-empty."""
         size = np.diff(off)
@@ -246,7 +280,7 @@ def kinds() -> np.ndarray:
     return _kinds[0]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, remember: int = 1_200_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, remember: int = 400_000) -> DataFrame:
     """doc_id, ids array<int> for every row, and with ``decoded`` the bytes that the ids decode to.
 
     vocabulary: a rank file of base64 tokens and ranks, read on the driver.

@@ -42,9 +42,13 @@ def shingles(text: bytes, k: int) -> list[bytes] | Iterator[bytes]:
 
 
 def fingerprint(text: bytes, k: int) -> int:
-    """Majority bits as a signed 64-bit number."""
+    """The SimHash of a text."""
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles(text, k)], dtype=np.uint64)
+    return majority(np.array([digest(s, 42) for s in shingles(text, k)], dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit number; 0 without hashes."""
     if not len(h):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -170,10 +174,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 4) -> DataFrame:
-    """docs without the rows whose id is not the smallest of its component; rows that repeat an id stay together."""
-    groups = Table(simhash_components(docs, id_col, text_col, k, radius), "groups").df
-    losers = Table(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "losers").df
-    losers = small_side(losers, losers.count())
-    return docs.join(losers, docs[id_col] == losers["doc_id"], "left_anti")
