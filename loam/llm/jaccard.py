@@ -45,7 +45,7 @@ BUCKET_TEXTS = 2_000
 
 MEMBERS = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("pos", pa.int32())])
 OWNERS = pa.schema([("cls", pa.int64()), ("n", pa.int32())])
-ROWS = "h long, cls long, n int, pos int"
+ROWS = "h long, cls long, n int, pos int, least long"
 
 
 def hashes(text: bytes, k: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def prefixes(docs: DataFrame, order: object, k: int, num: int, den: int, buckets
 
 
 def shared(messages: DataFrame) -> DataFrame:
-    """Prefix members that are in the prefix of another set too: (h, cls, n, pos)."""
+    """Prefix members that are in the prefix of another set too: (h, cls, n, pos, least), the last the least class that has h."""
 
     def of(held: list[tuple]) -> pa.RecordBatch:
         h, pos = (np.concatenate([m.column(c).to_numpy() for m, _ in held]) for c in (0, 2))
@@ -159,7 +159,9 @@ def shared(messages: DataFrame) -> DataFrame:
         h, cls, n, pos = h[new], cls[new], n[new], pos[new]
         same = h[1:] == h[:-1]
         more = np.r_[same, False] | np.r_[False, same]
-        return pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (h, cls, n, pos)], names=["h", "cls", "n", "pos"])
+        first = np.flatnonzero(np.r_[True, ~same])
+        least = np.repeat(cls[first], np.diff(np.r_[first, len(h)]))
+        return pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (h, cls, n, pos, least)], names=["h", "cls", "n", "pos", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -193,20 +195,32 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield held
 
 
-def in_groups(rows: DataFrame, pairs_of: object, num: int, den: int) -> DataFrame:
-    """rows(h, cls, n, pos, root) -> (a, b), a < b, of what pairs_of names by row numbers, if the bounds allow it and the roots differ."""
+def in_groups(rows: DataFrame, pairs_of: object, num: int, den: int, least: int = 2_000_000) -> DataFrame:
+    """rows(h, cls, n, pos, least, root) -> (a, b), a < b, of what pairs_of names by row numbers, if the bounds allow it and the roots differ.
+
+    Shingles with the same least class, mostly those of one group of texts, go to one of four tasks, which names a pair about once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, cls, n, pos, root in whole_groups(batches):
+        def distinct(held: list[np.ndarray]) -> np.ndarray:
+            return np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((2, 0), np.int64)
+
+        for _, h, cls, n, pos, root in whole_groups(batches):
+            held, size = [], 0
             for i, j in pairs_of(h, root):
                 most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # that can be common from here on
                 fits = (most.astype(np.int64) * (num + den) >= num * (n[i].astype(np.int64) + n[j])) & (root[i] != root[j])
                 x, y = cls[i[fits]], cls[j[fits]]
-                both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+                held.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+                size += len(x)
+                if size > least:
+                    held = [distinct(held)]
+                    size = 0
+            both = distinct(held)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    sorted_rows = rows.select("h", "cls", "n", "pos", "root").repartition("h").sortWithinPartitions("h", "cls")
-    return in_arrow(sorted_rows, run, "a long, b long").distinct()
+    keyed = rows.select(F.xxhash64("least", F.pmod("h", F.lit(4))).alias("key"), "h", "cls", "n", "pos", "root")
+    return in_arrow(keyed.repartition("key").sortWithinPartitions("key", "h", "cls"), run, "a long, b long").distinct()
 
 
 def with_centres(h: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -258,23 +272,6 @@ def with_other_roots(h: np.ndarray, root: np.ndarray, at_once: int = 1_000_000)
             yield by[np.repeat(part, hi - lo)], by[np.tile(np.arange(lo, hi), len(part))]
 
 
-def batched(pairs_of: object, least: int = 200_000) -> object:
-    """pairs_of with its small arrays put together."""
-
-    def run(h: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held, size = [], 0
-        for pair in pairs_of(h, root):
-            held.append(pair)
-            size += len(pair[0])
-            if size > least:
-                yield tuple(np.concatenate(x) for x in zip(*held))
-                held, size = [], 0
-        if held:
-            yield tuple(np.concatenate(x) for x in zip(*held))
-
-    return run
-
-
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Table:
     """pairs(a, b) whose sets have a similarity of num/den or more; docs(doc_id, text, tag), reps(cls, tag)."""
 
@@ -357,7 +354,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups.count() // BUCKET_TEXTS))
     rows = Table(shared(prefixes(single.select("text"), order, k, num, den, buckets)), "shared")
     scrap.append(rows)
-    for pairs_of in (with_centres, with_some, partial(with_some, seed=1), batched(with_other_roots)):
+    for pairs_of in (with_centres, with_some, partial(with_some, seed=1), with_other_roots):
         roots = Table(components(edges), "roots")
         scrap.append(roots)
         edges = joined(in_groups(rooted(rows.df, roots.df), pairs_of, num, den), edges)

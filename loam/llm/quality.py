@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, blocks, body, in_arrow
+from .common import Table, blocks, body, give_back, in_arrow
 from .ngrams import grams, padded, slots, text_sums
 
 GRAM = 4
@@ -99,17 +99,18 @@ class CumulativeLink:
         return cls(w, np.cumsum(np.r_[t[0], np.exp(t[1:])]))
 
 
-def features(texts: DataFrame, bits: int) -> pa.Table:
-    """texts(text, grade), a bounded sample -> (slots, shares, grade) of each row, on the driver."""
+def features(texts: DataFrame, bits: int) -> DataFrame:
+    """texts(id, text, grade), a bounded sample -> (id, slots, shares, grade) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches, "text"):
             slot, at, again = text_slots(data, off, bits)
             found = [np.unique(slot[a : a + n], return_counts=True) for a, n in zip(at[:-1], np.diff(off))]
             share = [np.r_[c * (SCALE / max(c.sum(), 1)), SCALE * r].astype(np.float32) for (_, c), r in zip(found, again)]
-            yield pa.RecordBatch.from_arrays([pa.array([np.r_[f, 1 << bits].astype(np.int32) for f, _ in found], pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), rows.column(1).cast(pa.int32())], names=["slots", "shares", "grade"])
+            lists = pa.array([np.r_[f, 1 << bits].astype(np.int32) for f, _ in found], pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), *lists, rows.column(2).cast(pa.int32())], names=["id", "slots", "shares", "grade"])
 
-    return in_arrow(texts, run, "slots array<int>, shares array<float>, grade int").toArrow()
+    return in_arrow(texts, run, "id string, slots array<int>, shares array<float>, grade int")
 
 
 def ordinal_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_grade: int = 1, cut: float = 0.5, sample: int = 6_000, bits: int = 17) -> DataFrame:
@@ -124,11 +125,21 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id",
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int, bits: int) -> CumulativeLink:
     rated = ratings.select(F.col("doc_id"), F.col("grade").cast("int").alias("grade")).filter("grade >= 0 and doc_id is not null").distinct()
-    chosen = Table(rated.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade").limit(sample), "rated").df  # bounded by the parameter
-    got = features(docs.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade").limit(sample).select("text", "grade"), bits)
-    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in got[name].chunks] or [np.zeros(0)])
-    size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in got["slots"].chunks] or [np.zeros(0)]).astype(np.int64)
-    return CumulativeLink.fit(flat("slots").astype(np.int64), flat("shares").astype(np.float64), np.r_[0, np.cumsum(size)], got["grade"].to_numpy(), bits)
+    first = [F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade"]
+    chosen = Table(rated.orderBy(*first).limit(sample), "rated")  # bounded by the parameter
+    # features where the texts are; rows that repeat an id are cut to the bound again as features
+    got = features(docs.join(F.broadcast(chosen.df), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", "grade"), bits)
+    table = Table(got, "features")
+    rows = table.df.orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("slots", "shares")).limit(sample).select("slots", "shares", "grade").toArrow()
+    flat = lambda name, kind: np.concatenate([np.zeros(0, kind), *(c.flatten().to_numpy() for c in rows[name].chunks)])
+    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in rows["slots"].chunks)])
+    grade, slot, share = rows["grade"].to_numpy(), flat("slots", np.int32), flat("shares", np.float32)
+    del rows
+    model = CumulativeLink.fit(slot, share, np.r_[0, np.cumsum(size)], grade, bits)
+    del slot, share
+    give_back()
+    table.drop(), chosen.drop()
+    return model
 
 
 def score_quality(docs: DataFrame, model: CumulativeLink, pass_grade: int) -> DataFrame:
