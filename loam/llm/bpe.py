@@ -294,7 +294,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(worker_coder(key, sent.value), remember)
-        for rows, data, off in blocks(batches, "text", 4 << 20):
+        for rows, data, off in blocks(batches, "text", 1 << 20):
             starts = split_points(data, off, kinds())
             coded = binary_array(data, np.r_[starts, len(data)]).dictionary_encode()
             number = cache.look_up(coded.dictionary)[coded.indices.to_numpy()]

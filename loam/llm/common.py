@@ -45,7 +45,7 @@ class Table:
 
 
 #: Bytes of rows sent to a Python worker at once.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def give_back() -> None:

@@ -138,7 +138,7 @@ def prefixes(docs: DataFrame, order: object, k: int, num: int, den: int, buckets
                 m = n - -(-num * n // den) + 1
                 held.append((s[:m].view(np.int64), np.full(m, len(held), np.int32), np.arange(m, dtype=np.int32), cls, n))
                 size += m
-                if size > 1 << 19:
+                if size > 1 << 18:
                     yield from packed(held)
                     held, size = [], 0
         if held:
@@ -195,7 +195,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield held
 
 
-def in_groups(rows: DataFrame, pairs_of: object, num: int, den: int, least: int = 2_000_000) -> DataFrame:
+def in_groups(rows: DataFrame, pairs_of: object, num: int, den: int, least: int = 500_000) -> DataFrame:
     """rows(h, cls, n, pos, least, root) -> (a, b), a < b, of what pairs_of names by row numbers, if the bounds allow it and the roots differ.
 
     Shingles with the same least class, mostly those of one group of texts, go to one of four tasks, which names a pair about once.
