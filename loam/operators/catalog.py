@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The states of a document.
 STATES = ("PENDING", "PROCESSING", "COMPLETED", "FAILED")
 SCHEMA = "id string, file_name string, content_type string, status string, file_size_bytes long, content_length long, part_count int, chunk_count int, processing_time_seconds double, created_at timestamp, updated_at timestamp"
 
@@ -54,8 +55,17 @@ class Store:
         return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        """Whether the table is there; one that a crash left aside during replace is put back."""
+        fs, now, aside = self._fs(table), self._hadoop(table), self._hadoop(f"_old_{table}")
+        if not fs.exists(now) and fs.exists(aside):
+            fs.rename(aside, now)
+        return fs.exists(now)
+
+    def _hadoop(self, table: str) -> object:
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
+
+    def _fs(self, table: str) -> object:
+        return self._hadoop(table).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def tables(self) -> list[str]:
         return [t for t in ("catalogue", "chunks", "entities", "mentions", "contains", "relations") if self.exists(t)]
@@ -67,14 +77,13 @@ class Store:
         rows.write.mode("append").parquet(self.path(table))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Written beside the old table and renamed, as the rows may come from it."""
-        new = self.path(f"_{table}")
-        rows.write.mode("overwrite").parquet(new)
-        jvm = self.spark.sparkContext._jvm
-        old, fresh = jvm.org.apache.hadoop.fs.Path(self.path(table)), jvm.org.apache.hadoop.fs.Path(new)
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(fresh, old)
+        """Written beside the old table, which goes aside before the new one takes its name and is deleted last."""
+        rows.write.mode("overwrite").parquet(self.path(f"_{table}"))
+        fs, now, aside = self._fs(table), self._hadoop(table), self._hadoop(f"_old_{table}")
+        fs.delete(aside, True)
+        fs.rename(now, aside)
+        fs.rename(self._hadoop(f"_{table}"), now)
+        fs.delete(aside, True)
         self.spark.catalog.refreshByPath(self.path(table))
 
     def delete(self, file_name: str | None = None) -> int:
@@ -84,7 +93,14 @@ class Store:
         n = gone.count()
         if file_name is not None and not n:
             raise NotFound(file_name)
-        for table, key in (("chunks", "document_id"), ("entities", "document_id"), ("catalogue", "id")):
+        ids = gone.select(F.col("id").cast("string").alias("id"))
+        # edges first, by the nodes that are still there; the catalogue last, so that a broken deletion can be run again
+        for table, key, nodes, of in (("mentions", "src", "contains", "dst"), ("relations", "src", "entities", "id")):
+            if self.exists(table) and self.exists(nodes):
+                owner = "src" if nodes == "contains" else "document_id"
+                lost = self.read(nodes).join(ids.withColumnRenamed("id", owner), owner, "left_semi").select(F.col(of).alias("id"))
+                self.replace(table, without(self.read(table), lost, key))
+        for table, key in (("contains", "src"), ("entities", "document_id"), ("chunks", "document_id"), ("catalogue", "id")):
             if self.exists(table):
-                self.replace(table, without(self.read(table), gone, key))
+                self.replace(table, without(self.read(table), ids, key))
         return n

@@ -12,6 +12,11 @@ from ..functions import text as tx
 from ..models import Extractive, TextGenerator, overlap_reply
 from . import graph as kg
 from . import search
+from .index import Index
+
+
+#: Fixed value: stands in the prompt for texts where there are none.
+NO_DATA = "Нет данных из документов."
 
 
 @dataclass
@@ -52,11 +57,11 @@ def relations_prompt(sentence: str) -> str:
 
 
 def answer_prompt(query: str, texts: list[str], past: str, known: list[str]) -> str:
-    context = "\n---\n".join(f"[{i}] {t}" for i, t in enumerate(texts, 1)) if texts else "Нет данных из документов."
+    context = "\n---\n".join(f"[{i}] {t}" for i, t in enumerate(texts, 1)) if texts else NO_DATA
     return f"Ответь на вопрос по приведённым данным.\nИстория:\n{past}\nДокументы:\n{context}\nСвязи:\n{'; '.join(known)}\nВопрос: {query}"
 
 
-def chat(spark: SparkSession, table: DataFrame | None, documents: DataFrame, query: str, past: list[dict] | None = None, document_ids: list | None = None, graph: kg.Graph | None = None, generate: TextGenerator | None = None, conf: Settings = Settings()) -> Reply:
+def chat(spark: SparkSession, table: DataFrame | Index | None, documents: DataFrame, query: str, past: list[dict] | None = None, document_ids: list | None = None, graph: kg.Graph | None = None, generate: TextGenerator | None = None, conf: Settings = Settings()) -> Reply:
     """Condense, rewrite, retrieve, rerank, look up relations, answer. At most ten hits reach the driver.
 
     The default generator is extractive; then queries are used as they are.
@@ -78,10 +83,11 @@ def chat(spark: SparkSession, table: DataFrame | None, documents: DataFrame, que
     hits: list = []
     if table is not None:
         asked = spark.createDataFrame([(0, rewritten)], "query_id int, query string")
-        one = documents.filter(F.col("document_id") == document_ids[0]).first() if document_ids and len(document_ids) == 1 else None
+        one = documents.filter(F.col("document_id") == document_ids[0]).orderBy("document_name").first() if document_ids and len(document_ids) == 1 else None
         kind = one.asDict().get("content_type") if one else None
         found = search.hybrid(table, asked, document_ids, kind, one["document_name"] if one else None, conf)
-        hits = found.join(table.select("document_id", "chunk_idx", "chunk_text"), ["document_id", "chunk_idx"]).orderBy("rank").limit(conf.branch_top).collect()
+        stored = table.chunks() if isinstance(table, Index) else table
+        hits = found.join(stored.select("document_id", "chunk_idx", "chunk_text"), ["document_id", "chunk_idx"]).orderBy("rank").limit(conf.branch_top).collect()
     texts = [h["chunk_text"] for h in hits]
     if hits:
         order = attempt(rerank_prompt(query, texts), overlap_reply(query, texts))
@@ -94,7 +100,7 @@ def chat(spark: SparkSession, table: DataFrame | None, documents: DataFrame, que
         known = sorted(r["label"] for r in kg.related_labels(graph, names).collect())  # at most 15 for each entity of the query
     new = [*past, {"role": "user", "content": query}]
     if not texts and not known:
-        answer = f"К сожалению, {tx.NOT_FOUND[1]}. Уточните вопрос."
+        answer = f"По этому вопросу ничего не нашлось: {tx.NOT_FOUND[2]}."
         return Reply(answer, [], [*new, {"role": "assistant", "content": answer}])
     try:
         answer, failed = model(answer_prompt(query, texts, lines, known)), False

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -12,19 +12,44 @@ from ..models import Embedder, HashEmbedder
 CHUNK_KEY = ("document_id", "chunk_idx")
 
 
-def chunk_documents(parts: DataFrame, conf: Settings = Settings()) -> DataFrame:
-    """parts(document_id, document_name, sheet_name, text), null names allowed -> one row for each chunk.
+#: Fixed value: the name of a document without one.
+UNNAMED = "Unknown Document"
 
-    Several parts of a document are numbered in the order of their sheets.
+
+def chunk_documents(parts: DataFrame, conf: Settings = Settings(), one_part: bool = False) -> DataFrame:
+    """parts(document_id, document_name, sheet_name, text and maybe part_idx), null names allowed -> one row for each chunk.
+
+    Chunks are numbered through all parts of a document, in the order of part_idx or else of the sheets' names and texts.
+    one_part: every document has one part, so that nothing needs to be shuffled.
     """
-    per_part = parts.select("document_id", F.coalesce("document_name", F.lit("Unknown Document")).alias("document_name"), F.coalesce("sheet_name", F.lit("")).alias("sheet_name"), tx.chunks(F.col("text"), conf.chunk_size, conf.chunk_overlap).alias("c"))
-    return per_part.select("document_id", "document_name", "sheet_name", F.posexplode("c").alias("chunk_idx", "chunk_text"))
+    order = F.col("part_idx") if "part_idx" in parts.columns else F.struct(F.coalesce("sheet_name", F.lit("")), F.coalesce("text", F.lit("")))
+    per_part = parts.select(
+        "document_id",
+        F.coalesce("document_name", F.lit(UNNAMED)).alias("document_name"),
+        F.coalesce("sheet_name", F.lit("")).alias("sheet_name"),
+        tx.chunks(F.col("text"), conf.chunk_size, conf.chunk_overlap).alias("c"),
+        *([] if one_part else [order.alias("_order")]),
+    )
+    if one_part:
+        return per_part.select("document_id", "document_name", "sheet_name", F.posexplode("c").alias("chunk_idx", "chunk_text"))
+    numbered = per_part.withColumn("_before", before(F.size("c"), "_order"))
+    return numbered.select("document_id", "document_name", "sheet_name", "_before", F.posexplode("c").alias("_i", "chunk_text")).select(
+        "document_id", "document_name", "sheet_name", (F.col("_before") + F.col("_i")).cast("int").alias("chunk_idx"), "chunk_text"
+    )
+
+
+def before(n: Column, order: str) -> Column:
+    """Sum of n over the rows of the same document before this one."""
+    return F.coalesce(F.sum(n).over(Window.partitionBy("document_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def guarded(chunks: DataFrame, conf: Settings = Settings()) -> DataFrame:
-    """Chunks over the token guard are split before they are stored, so text and vector stay together."""
+    """Chunks over the token guard are split before they are stored, so text and vector stay together, and numbered anew."""
     pieces = F.when(tx.token_count(F.col("chunk_text")) <= conf.chunk_tokens, F.array("chunk_text")).otherwise(tx.split_by_tokens(F.col("chunk_text"), conf.chunk_tokens))
-    return chunks.select(*(c for c in chunks.columns if c != "chunk_text"), F.posexplode(pieces).alias("piece_idx", "chunk_text"))
+    cut = chunks.withColumn("_pieces", pieces).withColumn("_before", before(F.size("_pieces"), "chunk_idx"))
+    others = [c for c in chunks.columns if c not in ("chunk_text", "chunk_idx")]
+    cut = cut.select(*others, "_before", F.posexplode("_pieces").alias("_i", "chunk_text"))
+    return cut.select(*others, (F.col("_before") + F.col("_i")).cast("int").alias("chunk_idx"), "chunk_text")
 
 
 def chunk_table(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:

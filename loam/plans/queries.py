@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,13 @@ from ..config import Settings
 from ..functions import text as tx
 from ..models import HashEmbedder
 from ..operators import catalog, chat, graph, search
-from ..operators.ingest import chunk_documents, chunk_table, guarded, postings, term_stats
+from ..operators.index import Index
+from ..operators.ingest import chunk_documents, guarded
 from ..sources.files import html_text
 
 CONF = Settings()
 #: Questions asked of the test tables, as a parameter of the search queries.
-QUESTIONS = ((1, "the tion of ing"), (2, "der schen und heit"), (3, "les mentre Qui, eau que"), (4, "src1 and that entint"), (5, "zzzz"))
+QUESTIONS = ((1, "the tion of ing"), (2, "der schen und heit"), (3, "les mentre Qui, eau que"), (4, "src1 and that entint"), (5, "zzzz"), (6, "heat of Zqxwvk tion"))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +36,20 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_documents(parts(spark, sf_dir), CONF)
+    return chunk_documents(parts(spark, sf_dir), CONF, one_part=True)
 
 
-def table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_table(chunks(spark, sf_dir), HashEmbedder(CONF.embedding_dim))
+_built: dict[tuple, Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents, built at its first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        root = f"{base.rstrip('/')}/loam-index-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="loam-index-")
+        _built[key] = Index(spark, root).build(parts(spark, sf_dir), CONF, HashEmbedder(CONF.embedding_dim), one_part=True)
+    return _built[key]
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -70,9 +81,12 @@ def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of each document in an append-only log of three states."""
-    base = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"))
-    log = base.select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("status"), F.timestamp_seconds(F.lit(i)).alias("updated_at")) for i, s in enumerate(("PENDING", "PROCESSING", "COMPLETED"))))).alias("e")).select("id", "e.*")
+    """The last state of each document in an append-only log: a third of them are pending, a third in work, the others done or,
+    every fifth, failed; the last two entries of a document have the same time."""
+    base = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("n"))
+    states = (F.lit("PENDING"), F.lit("PROCESSING"), F.when(F.col("n") % 5 == 0, "FAILED").otherwise("COMPLETED"))
+    entries = F.array(*(F.struct(s.alias("status"), F.timestamp_seconds(F.lit(min(i, 1))).alias("updated_at")) for i, s in enumerate(states)))
+    log = base.select("id", F.explode(F.slice(entries, F.lit(1), (F.col("n") % 3 + 1).cast("int"))).alias("e")).select("id", "e.*")
     return catalog.current(log).select("id", "status")
 
 
@@ -137,12 +151,17 @@ def answer_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # full-text index and retrieval
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_stats(postings(table(spark, sf_dir), "chunk_text_normalized"))
+    return index(spark, sf_dir).read("terms")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = search.query_terms(questions(spark), tx.terms(F.col("query")))
-    return keyed(search.bm25(postings(table(spark, sf_dir), "chunk_text_normalized"), q, CONF.branch_top, CONF))
+    return keyed(content_hits(spark, sf_dir, q))
+
+
+def content_hits(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    found, stats = index(spark, sf_dir).field("content", [r["term"] for r in asked.select("term").distinct().collect()])
+    return search.bm25(found, asked, CONF.branch_top, CONF, stats=stats)
 
 
 def keyed(hits: DataFrame) -> DataFrame:
@@ -178,20 +197,20 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.branches(table(spark, sf_dir), questions(spark), CONF, HashEmbedder(CONF.embedding_dim), False, False)
+    found = search.branches(index(spark, sf_dir), questions(spark), CONF, HashEmbedder(CONF.embedding_dim), False, False)
     return keyed(search.rrf(found, CONF.rrf_constant))
 
 
 def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.branches(table(spark, sf_dir), questions(spark), CONF, HashEmbedder(CONF.embedding_dim), True, True)
+    found = search.branches(index(spark, sf_dir), questions(spark), CONF, HashEmbedder(CONF.embedding_dim), True, True)
     return keyed(search.ranked_scores(search.weighted_sum(found)))
 
 
 def vector_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text search alone is fused; the questions it leaves empty fall back to vectors."""
-    t, q = table(spark, sf_dir), questions(spark)
-    fused = search.bm25(postings(t, "chunk_text_normalized"), search.query_terms(q, tx.terms(F.col("query"))), 10, CONF)
-    return keyed(search.vector_fallback(t, q, fused, CONF, HashEmbedder(CONF.embedding_dim)))
+    q = questions(spark)
+    fused = content_hits(spark, sf_dir, search.query_terms(q, tx.terms(F.col("query"))))
+    return keyed(search.vector_fallback(index(spark, sf_dir).chunks(), q, fused, CONF, HashEmbedder(CONF.embedding_dim)))
 
 
 def sources_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +270,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.ingest import ingest_stream as stream
 
     base = spark.conf.get("spark.checkpoint.dir", None)
-    home = f"{base.rstrip('/')}/loam-stream-{tempfile.gettempprefix()}-{id(object())}" if base else tempfile.mkdtemp(prefix="loam-stream-")
+    home = f"{base.rstrip('/')}/loam-stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="loam-stream-")
     if not base:
         shutil.rmtree(home)
     schema = docs(spark, sf_dir).schema.simpleString()[len("struct<") : -1].replace(":", " ")
@@ -339,7 +358,7 @@ ORACLE: dict[str, str] = {
       SELECT source, count(*) AS n_documents, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_chunks, count(quality) AS n_rated
       FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "status_update": "SELECT doc_id AS id, source AS file_name, CASE WHEN length(coalesce(text, '')) > 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status, length(coalesce(text, '')) AS content_length FROM documents",
-    "status_current": "SELECT CAST(doc_id AS VARCHAR) AS id, 'COMPLETED' AS status FROM documents",
+    "status_current": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'PROCESSING' ELSE CASE WHEN doc_id % 5 = 0 THEN 'FAILED' ELSE 'COMPLETED' END END AS status FROM documents",
     "delete_cascade": f"WITH {CHUNKS} SELECT document_name, count(DISTINCT document_id) AS n_documents, count(*) AS n_chunks FROM chunk WHERE document_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3') GROUP BY 1",
     "sentence_split": f"WITH {WITH['sents']} SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, s[i] AS sentence FROM sents, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)",
     "sentence_filter": rf"WITH {WITH['sents']} SELECT doc_id, len(list_filter(s, lambda x: length(x) BETWEEN 10 AND 500 AND regexp_matches(x, '\p{{L}}') AND length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) * 2 <= length(x))) AS n_eligible FROM sents",
@@ -363,7 +382,7 @@ ORACLE: dict[str, str] = {
       g AS (SELECT query_id, document_id, chunk_idx, round(sum(1 / (60::DOUBLE + rank)), 9) AS score FROM f GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_idx) AS rank FROM g QUALIFY rank <= 10""",
     "hybrid_weighted": f"""WITH {TABLE}, {CONTENT}, {KNN}, {NAMES}, {ENTITIES}, f AS ({BRANCH.format('knn')} UNION ALL {BRANCH.format('content')} UNION ALL {BRANCH.format('names')} UNION ALL {BRANCH.format('entity')}),
-      s AS (SELECT *, min(score) OVER b AS low, max(score) OVER b AS high, max(branch = 'entity') OVER (PARTITION BY query_id) AS e FROM f WINDOW b AS (PARTITION BY query_id, branch)),
+      s AS (SELECT *, min(score) OVER b AS low, max(score) OVER b AS high, (SELECT len({ENTITY.format('query')}) > 0 FROM asked WHERE asked.query_id = f.query_id) AS e FROM f WINDOW b AS (PARTITION BY query_id, branch)),
       g AS (SELECT query_id, document_id, chunk_idx, round(sum(CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1.0::DOUBLE END * CASE branch WHEN 'knn' THEN CASE WHEN e THEN 0.35::DOUBLE ELSE 0.4::DOUBLE END
               WHEN 'content' THEN CASE WHEN e THEN 0.25::DOUBLE ELSE 0.3::DOUBLE END WHEN 'names' THEN CASE WHEN e THEN 0.1::DOUBLE ELSE 0.15::DOUBLE END ELSE 0.2::DOUBLE END), 6) AS score FROM s GROUP BY ALL),
       r AS (SELECT query_id, document_id, chunk_idx, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_idx) AS rank FROM g QUALIFY rank <= 10)

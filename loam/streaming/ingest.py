@@ -17,7 +17,7 @@ def ingest_stream(spark: SparkSession, folder: str, schema: str, glob: str, targ
     def batch(df: DataFrame, number: int) -> None:
         unique = df.dropDuplicates(["doc_id"])
         parts = unique.select(F.col("doc_id").alias("document_id"), F.col("source").alias("document_name"), F.lit("").alias("sheet_name"), "text")
-        chunk_documents(parts, conf).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        chunk_documents(parts, conf, one_part=True).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target)
