@@ -57,6 +57,14 @@ def give_back() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between the rounds of a long operator: the driver frees what finished rounds left, and with their handles Spark
+    removes their shuffle files and broadcasts, which otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of at most some ARROW_BYTES; a worker, which waits for its next task with what it
     holds, gives its free memory back at the end of a partition. The batch size is set in the session unless it was already."""

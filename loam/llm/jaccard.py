@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, body, in_arrow, small_side
+from .common import Table, body, in_arrow, settle, small_side
 from .graph import components
 from .simhash import links, majority, shingles
 
@@ -339,6 +339,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         tested.append(table.df)
         near = verified(table.df, single, tags, k, num, den)
         scrap.extend((table, near))
+        settle(docs.sparkSession)
         return near.df if edges is None else edges.unionByName(near.df)
 
     # what the covering tables find: links of fingerprints, by the least class of each
@@ -357,6 +358,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     for pairs_of in (with_centres, with_some, partial(with_some, seed=1), with_other_roots):
         roots = Table(components(edges), "roots")
         scrap.append(roots)
+        settle(docs.sparkSession)
         edges = joined(in_groups(rooted(rows.df, roots.df), pairs_of, num, den), edges)
     roots = Table(components(edges), "roots")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, body, in_arrow, small_side
+from .common import Table, body, in_arrow, settle, small_side
 from .suffix_dedup import merged
 
 #: A suffix's place in the corpus.
@@ -217,6 +217,7 @@ def repeated_windows(lines: DataFrame, least: int) -> tuple[DataFrame | None, li
         new = Table(renamed(made.df, fresh).filter(F.exists("open", lambda x: x)), "names")
         made.drop()
         made = new
+        settle(lines.sparkSession)
     made.drop()
     out = later[0]
     for x in later[1:]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, blocks, body, give_back, in_arrow
+from .common import Table, blocks, body, in_arrow, settle
 from .ngrams import grams, padded, slots, text_sums
 
 GRAM = 4
@@ -130,6 +130,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int, bits: int) ->
     # features where the texts are; rows that repeat an id are cut to the bound again as features
     got = features(docs.join(F.broadcast(chosen.df), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", "grade"), bits)
     table = Table(got, "features")
+    settle(docs.sparkSession)
     rows = table.df.orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("slots", "shares")).limit(sample).select("slots", "shares", "grade").toArrow()
     flat = lambda name, kind: np.concatenate([np.zeros(0, kind), *(c.flatten().to_numpy() for c in rows[name].chunks)])
     size = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in rows["slots"].chunks)])
@@ -137,8 +138,8 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int, bits: int) ->
     del rows
     model = CumulativeLink.fit(slot, share, np.r_[0, np.cumsum(size)], grade, bits)
     del slot, share
-    give_back()
     table.drop(), chosen.drop()
+    settle(docs.sparkSession)
     return model
 
 
