@@ -57,9 +57,16 @@ def give_back() -> None:
         trim(0)
 
 
-def settle(spark: SparkSession) -> None:
+def settle(spark: SparkSession, executors: bool = False) -> None:
     """Between the rounds of a long operator: the driver frees what finished rounds left, and with their handles Spark
-    removes their shuffle files and broadcasts, which otherwise stay until the driver happens to collect its garbage."""
+    removes their shuffle files and broadcasts, which otherwise stay until the driver happens to collect its garbage.
+
+    executors: between stages, the executors collect theirs too, by a job of a few tasks for each core, so that the heap that a
+    JVM stage filled shrinks before Python workers need memory beside it.
+    """
+    if executors:
+        tasks = 2 * spark.sparkContext.defaultParallelism
+        spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).filter("done is null").count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     give_back()

@@ -351,6 +351,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     edges = joined(tables, None)
 
     # what they cannot reach
+    settle(docs.sparkSession, executors=True)
     order = docs.sparkSession.sparkContext.broadcast(frequent(own, groups.count(), k))
     buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups.count() // BUCKET_TEXTS))
     rows = Table(shared(prefixes(single.select("text"), order, k, num, den, buckets)), "shared")
