@@ -134,7 +134,9 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int, bits: int) ->
     rows = table.df.orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("slots", "shares")).limit(sample).select("slots", "shares", "grade").toArrow()
     flat = lambda name, kind: np.concatenate([np.zeros(0, kind), *(c.flatten().to_numpy() for c in rows[name].chunks)])
     size = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in rows["slots"].chunks)])
-    grade, slot, share = rows["grade"].to_numpy(), flat("slots", np.int32), flat("shares", np.float32)
+    grade, slot = rows["grade"].to_numpy().copy(), flat("slots", np.int32)
+    rows = rows.select(["shares"])  # one column less in memory
+    share = flat("shares", np.float32)
     del rows
     model = CumulativeLink.fit(slot, share, np.r_[0, np.cumsum(size)], grade, bits)
     del slot, share
