@@ -19,7 +19,6 @@ copies of each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -244,7 +243,7 @@ def root_runs(h: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return by, first, size, shingle, largest
 
 
-def with_some(h: np.ndarray, root: np.ndarray, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def with_some(h: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each row that is not of its shingle's most frequent root with SOME rows of the shingle, drawn by their hashes: of each shingle
     that two texts share others, so that a text that is near to a small part of a large group soon meets one of these."""
     by, first, size, shingle, largest = root_runs(h, root)
@@ -256,7 +255,7 @@ def with_some(h: np.ndarray, root: np.ndarray, seed: int = 0) -> Iterator[tuple[
     of = np.repeat(shingle, size)[row]
     draw = (h[by[row]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ row.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)
     for k in range(SOME):
-        other = start[of] + ((draw + np.uint64((k + SOME * seed) * 0x9E3779B1)) % total[of].astype(np.uint64)).astype(np.int64)
+        other = start[of] + ((draw + np.uint64(k * 0x9E3779B1)) % total[of].astype(np.uint64)).astype(np.int64)
         yield by[row], by[other]
 
 
@@ -356,18 +355,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups.count() // BUCKET_TEXTS))
     rows = Table(shared(prefixes(single.select("text"), order, k, num, den, buckets)), "shared")
     scrap.append(rows)
-    for pairs_of in (with_centres, with_some, partial(with_some, seed=1), with_other_roots):
-        roots = Table(components(edges), "roots")
-        scrap.append(roots)
-        settle(docs.sparkSession)
-        edges = joined(in_groups(rooted(rows.df, roots.df), pairs_of, num, den), edges)
     roots = Table(components(edges), "roots")
+    for pairs_of in (with_centres, with_some, with_other_roots):
+        scrap.append(roots)
+        known, edges = edges, joined(in_groups(rooted(rows.df, roots.df), pairs_of, num, den), edges)
+        if scrap[-1].df.isEmpty():
+            edges = known  # nothing new, so the roots stay
+        else:
+            roots = Table(components(edges), "roots")
 
     named = rooted(reps.df, roots.df)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("cls", "component_id")
     losers = Table(groups.join(named, "cls").filter("doc_id <> component_id").select("doc_id").distinct(), "losers").df
-    for table in (*scrap, roots, reps):
+    for table in {t.path: t for t in (*scrap, roots, reps)}.values():
         table.drop()
     losers = small_side(losers, losers.count())
     return docs.join(losers, docs[id_col] == losers["doc_id"], "left_anti")
