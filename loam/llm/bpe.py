@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries in each partition.
 
 Texts are read in pieces of a few MB. A piece is cut into pre-tokens by the split pattern, all at once on its code
-points, and its distinct pre-tokens go to an in-memory DuckDB: their bytes are token-position rows, a recursive query
-joins neighbouring tokens with the merge table and contracts each word's leftmost pair of least rank until none is left,
-and an ordered aggregation gives every word's ids. Decoding joins the ids with the vocabulary and aggregates the bytes
-in order. A partition keeps what it has encoded (``remember`` words at most, then it starts anew), which saves work but changes no result.
-A recursion step contracts one pair of a word, so a word of n bytes takes up to n steps over its rows; pre-tokens of more than LONG bytes, as
+points, and its distinct pre-tokens go to an in-memory DuckDB: their bytes are token-position rows, an ordered aggregation makes a list of
+tokens of each word, and a recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost pair of least rank
+until none is left. Decoding joins the ids with the vocabulary and aggregates the bytes in order.
+A Python worker keeps what it has encoded over all partitions that it serves, which saves work but changes no result: beyond ``remember`` words
+it forgets the half that was not met for longest, beyond MEAN bytes for each of these all of them.
+A recursion step contracts one pair of a word, so a word of n bytes takes up to n steps over its tokens; pre-tokens of more than LONG bytes, as
 in texts without blanks, are contracted in the same order with a heap instead.
 
 The vocabulary file is read on the driver and sent to the executors: its size is fixed by the tokenizer.
@@ -36,6 +37,8 @@ from .common import blocks, body, in_arrow, row_slices
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Bytes of the longest pre-token that goes to the recursive query.
 LONG = 256
+#: Bytes of the words that a worker keeps, for each word that it may keep.
+MEAN = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -111,20 +114,17 @@ def split_points(data: np.ndarray, off: np.ndarray, kinds: np.ndarray) -> np.nda
 
 
 ENCODE = """
-with recursive step(w, pos, tok, live) as (
-  select w, pos, tok, true from fresh
+with recursive step(w, toks, live) as (
+  select w, list(tok order by pos), true from fresh group by w
   union all
-  (with pairs as materialized (
-     select s.w, s.pos, s.tok, s.after, (m.rank::bigint << 32) | s.pos as cost
-     from (select w, pos, tok, lead(tok) over word as right_tok, lead(pos) over word as after
-           from step where live window word as (partition by w order by pos)) s
-     left join merges m on m.pair = (s.tok::bigint << 32) | s.right_tok),
-   best as (select w, min(cost) as cost, arg_min(after, cost) as gone from pairs group by w)
-   select p.w, p.pos, case when p.cost = b.cost then (b.cost >> 32)::int else p.tok end, b.cost is not null
-   from pairs p join best b on p.w = b.w
-   where b.gone is null or p.pos <> b.gone)
+  (with pairs as (
+     select s.w, min((m.rank::bigint << 32) | s.i) as cost
+     from (select w, unnest(toks[: -2]) as tok, unnest(toks[2 :]) as right_tok, unnest(range(1, len(toks))) as i from step where live) s
+     join merges m on m.pair = (s.tok::bigint << 32) | s.right_tok group by s.w),
+   best as (select s.w, s.toks, p.cost, p.cost & 4294967295 as i from step s left join pairs p on p.w = s.w where s.live)
+   select w, case when cost is null then toks else toks[: i - 1] || [(cost >> 32)::int] || toks[i + 2 :] end, cost is not null from best)
 )
-select w, list(tok order by pos) as ids from step where not live group by w order by w
+select w, toks as ids from step where not live order by w
 """
 
 DECODE = "select t.w, from_hex(string_agg(v.hex, '' order by t.pos)) as bytes from coded t join vocab v on v.tok = t.tok group by t.w order by t.w"
@@ -224,7 +224,7 @@ def gather(flat: np.ndarray, off: np.ndarray, codes: np.ndarray) -> tuple[np.nda
 
 
 class Cache:
-    """The ids of the words met so far, and the bytes that these ids decode to."""
+    """The ids of the words met so far, and the bytes that these ids decode to; one for each Python worker and vocabulary."""
 
     def __init__(self, coder: Coder, remember: int):
         self.coder, self.remember = coder, remember
@@ -234,11 +234,24 @@ class Cache:
         self.number: dict[bytes, int] = {}
         self.ids, self.ids_off = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.text, self.text_off = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.met, self.time = np.zeros(0, np.int32), 0  # when each word was met last
+
+    def forget(self) -> None:
+        """Keeps the later half of the words; none if they are long or few may be kept."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: self.remember // 2])  # of words met at the same time, those known for longer
+        if self.remember < 2 or len(self.text) > MEAN * self.remember:
+            self.clear()
+            return
+        words = list(self.number)
+        self.number = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.ids, self.ids_off = gather(self.ids, self.ids_off, keep)
+        self.text, self.text_off = gather(self.text, self.text_off, keep)
+        self.met = self.met[keep]
 
     def look_up(self, words: pa.Array) -> np.ndarray:
         """Numbers of distinct words; the new ones are encoded, and their ids decoded, by one query each."""
-        if len(self.number) > self.remember:
-            self.clear()
+        if len(self.number) > self.remember or len(self.text) > MEAN * self.remember:
+            self.forget()
         keys = words.to_pylist()
         at = np.fromiter((self.number.get(w, -1) for w in keys), np.int64, len(keys))
         fresh = np.flatnonzero(at < 0)
@@ -249,6 +262,9 @@ class Cache:
             self.number.update((keys[i], n) for n, i in enumerate(fresh.tolist(), len(self.number)))
             self.ids, self.ids_off = np.r_[self.ids, ids], np.r_[self.ids_off, self.ids_off[-1] + off[1:]]
             self.text, self.text_off = np.r_[self.text, text], np.r_[self.text_off, self.text_off[-1] + text_off[1:]]
+            self.met = np.r_[self.met, np.zeros(len(fresh), np.int32)]
+        self.time += 1
+        self.met[at] = self.time
         return at
 
 
@@ -263,17 +279,28 @@ def binary_array(flat: np.ndarray, off: np.ndarray) -> pa.Array:
 
 
 _coders: dict[int, Coder] = {}
+_caches: dict[int, Cache] = {}
 _kinds: list[np.ndarray] = []
 
 
 def worker_coder(key: int, ranks: dict[bytes, int]) -> Coder:
-    """Python workers serve many partitions; the vocabulary's tables are kept, the words are not."""
+    """Python workers serve many partitions; the vocabulary's tables are kept."""
     if key not in _coders:
         _coders.clear()
+        _caches.clear()
         _coders[key] = Coder(ranks)
     return _coders[key]
 
 
+def worker_cache(key: int, ranks: dict[bytes, int], remember: int) -> Cache:
+    """The words that the worker knows from its partitions so far."""
+    coder = worker_coder(key, ranks)
+    if remember not in _caches:
+        _caches.clear()
+        _caches[remember] = Cache(coder, remember)
+    return _caches[remember]
+
+
 def kinds() -> np.ndarray:
     if not _kinds:
         _kinds.append(code_point_kinds())
@@ -293,7 +320,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(worker_coder(key, sent.value), remember)
+        cache = worker_cache(key, sent.value, remember)
         for rows, data, off in blocks(batches, "text", 1 << 20):
             starts = split_points(data, off, kinds())
             coded = binary_array(data, np.r_[starts, len(data)]).dictionary_encode()

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from loam.llm.bpe import LONG, Coder, encode, read_ranks
+from loam.llm.bpe import LONG, MEAN, Cache, Coder, encode, gather, read_ranks, worker_cache
 from loam.llm.queries import VOCABULARY, op5_bpe
 
 PATH = public_tokenizers.path(VOCABULARY)
@@ -41,6 +41,50 @@ def test_heap_and_recursion_agree(tik):
         assert got == ([coder.ranks[w]] if w in coder.ranks else list(coder.contracted(w)))
 
 
+def looked_up(cache, words):
+    """(ids, bytes) of each word, and how many words had to be encoded."""
+    import pyarrow as pa
+
+    new, encode_words = [], cache.coder.encode_words
+    cache.coder.encode_words = lambda w: new.extend(w.to_pylist()) or encode_words(w)
+    try:
+        at = cache.look_up(pa.array(words, pa.binary()))
+    finally:
+        cache.coder.encode_words = encode_words
+    parts = []
+    for flat, off in ((cache.ids, cache.ids_off), (cache.text, cache.text_off)):
+        got, ends = gather(flat, off, at)
+        parts.append([got[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])])
+    return list(zip(parts[0], map(bytes, parts[1]))), len(new)
+
+
+def test_forgetting(tik):
+    """The words met last stay, whatever comes between; results are the same with any limit."""
+    rng = random.Random(9)
+    hot = [b" zq%dkx" % i for i in range(20)]
+    for remember in (0, 1, 2, 60, 100_000):
+        cache = Cache(Coder(read_ranks(PATH)), remember)
+        for turn in range(12):
+            words = hot + list({b" " + bytes(rng.choice(b"aeinorst") for _ in range(9)) + b"%d" % turn for _ in range(15)})
+            got, encoded = looked_up(cache, words)
+            assert got == [(tik._core_bpe.encode_single_piece(w), w) for w in words]
+            assert len(cache.number) == len(cache.met) == len(cache.ids_off) - 1 <= max(remember, 0) + len(words)
+            if remember >= 60 and turn:
+                assert encoded <= 15
+    cache = Cache(Coder(read_ranks(PATH)), 10)
+    looked_up(cache, [b"x" * (11 * MEAN)])
+    assert looked_up(cache, [b"ab zq"])[0][0][1] == b"ab zq" and len(cache.number) == 1
+
+
+def test_partitions_share_words():
+    """A worker's second partition encodes only what is new to it."""
+    ranks = read_ranks(PATH)
+    assert looked_up(worker_cache(-1, ranks, 1000), [b" zqikx", b" qqvvy"])[1] == 2
+    assert looked_up(worker_cache(-1, ranks, 1000), [b" qqvvy", b" zqikx", b" xxkky"])[1] == 1
+    assert looked_up(worker_cache(-1, ranks, 7), [b" qqvvy"])[1] == 1
+    assert looked_up(worker_cache(-2, ranks, 7), [b" qqvvy"])[1] == 1
+
+
 def test_query_columns(spark, tik, tmp_path):
     texts = ["Hello world, it's 42!", None, "", "  spaced\n\nout \t", "naïve été don't", "Hello world, it's 42!"]
     spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
