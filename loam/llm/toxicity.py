@@ -1,8 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
 Two models, one of texts marked toxic and one of the others, predict each byte of a word from all bytes of the word before it, up to
-ORDER bytes with the blank that ends the word; words are runs of letters (A-Z folded; every byte of a character beyond ASCII counts as a letter), and a
-text counts each of its word beginnings once. A class's counts are discounted by its Kneser-Ney discount, and what that frees, and
+ORDER bytes with the blank that ends the word; words are runs of letters (A-Z folded; every byte of a character beyond ASCII counts as a letter).
+What goes on behind ORDER bytes is taken as further words, so every byte of a text counts: in a word of up to LONG bytes every ORDER bytes,
+in a longer run, as of scripts without blanks, from each character on. A text counts each of its word beginnings once. A class's counts are discounted by its Kneser-Ney discount, and what that frees, and
 PRIOR further counts, go to one shared model of the pooled counts:
 
     p_c(x | h) = (max(n_c(hx) - D_c, 0) + (PRIOR + D_c types_c(h)) q(x | h)) / (n_c(h) + PRIOR)
@@ -39,6 +40,8 @@ from .common import Table, blocks, body, in_arrow, small_side
 ORDER = 8
 PRIOR = 30.0
 PASSAGE = 5
+#: Bytes of the longest run of letters that is taken for one word.
+LONG = 32
 #: A byte of no letter, so that a whole word differs from the beginning of a longer one.
 END = 0x20
 LETTER = np.zeros(256, bool)
@@ -52,8 +55,40 @@ def fold(id_col: str | Column) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary") if isinstance(id_col, str) else id_col) % 5
 
 
-def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each word, n + 1 offsets of the texts in it): the first ORDER bytes of a word and its end, the first one highest, zeros behind."""
+def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word and of what goes on behind its first ORDER bytes, in order: every byte of a word is in some piece.
+
+    A word of up to LONG bytes goes on every ORDER bytes, so that equal words have equal pieces; a longer run, as of scripts without blanks, with
+    every character, as what is said in it can begin anywhere. Pieces begin with whole characters.
+    """
+    inside = (data & 0xC0) == 0x80
+    starts, ends = [start], [end]
+    at, to = (x[(end - start > ORDER) & (end - start <= LONG)] for x in (start, end))
+    while len(at):
+        at = at + ORDER
+        for _ in range(3):
+            at = at - inside[np.minimum(at, len(data) - 1)] * (at < to)
+        at, to = at[at < to], to[at < to]
+        starts.append(at), ends.append(to)
+    first, last = (x[end - start > LONG] for x in (start, end))
+    if len(first):
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[first] += 1
+        edge[last] -= 1
+        within = np.cumsum(edge[:-1]) > 0
+        within[first] = False
+        at = np.flatnonzero(within & ~inside)
+        starts.append(at), ends.append(last[np.searchsorted(last, at, side="right")])
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    by = np.argsort(start, kind="stable")
+    return start[by], end[by]
+
+
+def word_keys(data: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each word, n + 1 offsets of the texts in it): the first ORDER bytes of a word and its end, the first one highest, zeros behind.
+
+    whole: keys of all pieces of the words, so that no byte of a text is left out.
+    """
     solid = np.zeros(len(data) + 2, np.int8)
     solid[1:-1] = LETTER[data]
     edge = np.diff(solid)
@@ -61,6 +96,8 @@ def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
     cut = np.unique(inner[LETTER[data[inner]] & LETTER[data[inner - 1]]]) if len(inner) else inner  # words never cross texts
     start, end = np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
+    if whole:
+        start, end = pieces(data, start, end)
     size, padded = end - start, np.r_[data, np.zeros(ORDER, np.uint8)]
     key = np.zeros(len(start), np.uint64)
     for i in range(ORDER):
@@ -83,7 +120,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches, "text"):
-            key, at = word_keys(data, off)
+            key, at = word_keys(data, off, whole=True)
             of = np.repeat(np.arange(len(off) - 1), np.diff(at))
             by = np.lexsort((of, key))
             new = np.r_[True, (np.diff(key[by]) != 0) | (np.diff(of[by]) != 0)][: len(by)]
@@ -222,7 +259,7 @@ def scored_by_join(docs: DataFrame, found: DataFrame, unknown: float) -> tuple[D
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches, "text"):
-            key, at = word_keys(data, off)
+            key, at = word_keys(data, off, whole=True)
             lists = [np.unique(key[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:])]
             tag = np.repeat(rows.column(0).to_numpy(), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))], names=["tag", "key"])
@@ -237,7 +274,7 @@ def scored_by_join(docs: DataFrame, found: DataFrame, unknown: float) -> tuple[D
     joined = own.join(of_text, "tag", "left").select("doc_id", "text", "known")
 
     def look_up(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, at = word_keys(data, off)
+        key, at = word_keys(data, off, whole=True)
         out = np.zeros(len(key), np.float32)
         for known, a, b in zip(rows.column(2), at[:-1], at[1:]):
             if b > a:
@@ -270,7 +307,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             model = docs.sparkSession.sparkContext.broadcast(Ratios(kept.df.select("key", "own", "beyond").toArrow(), unknown))
 
             def look_up(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                key, at = word_keys(data, off)
+                key, at = word_keys(data, off, whole=True)
                 return model.value.get(key), at
 
             ratio = scored(docs, look_up)

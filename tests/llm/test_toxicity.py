@@ -97,6 +97,49 @@ def test_word_keys_never_cross_texts():
     assert [words[a:b] for a, b in zip(at[:-1], at[1:])] == [[b"ab "], [], [b"cd ", b"e "], ["é".encode() + b" "], [], [], [b"abcdefgh", b"j "]]
 
 
+def cut(word):
+    """The pieces of one word, by whole characters."""
+    chars, out, at = [c.encode() for c in word], [], 0
+    where = [sum(map(len, chars[:i])) for i in range(len(chars))]
+    size = sum(map(len, chars))
+    if size > tox.LONG:
+        out = where
+    else:
+        while at < size:
+            out.append(at)
+            at = max([w for w in where if w <= at + tox.ORDER], default=0) if at + tox.ORDER < size else size
+    raw = b"".join(chars).lower() + b" "
+    return [raw[w : w + tox.ORDER] for w in out]
+
+
+def test_every_byte_is_in_a_key():
+    words = ["a", "abcdefgh", "abcdefghi", "Abcdefghijklmnopq", "x" * 32, "xy" * 17, "字" * 2, "字" * 3, "字" * 10, "字天" * 40, "aé" * 9, "😀a" * 6, "😀" * 9, "naïveté" * 2]
+    texts = ["".join(w) for w in words] + ["", " ".join(words), "! " + words[9] + "," + words[5]]
+    raw = [t.encode() for t in texts]
+    key, at = word_keys(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])], whole=True)
+    got = [int(k).to_bytes(8, "big").rstrip(b"\0") for k in key]
+    want = [*([w] for w in words), [], words, [words[9], words[5]]]
+    assert [got[a:b] for a, b in zip(at[:-1], at[1:])] == [[p for w in ws for p in cut(w)] for ws in want]
+    for w in words:
+        assert len(cut(w)) >= len(w.encode()) / tox.ORDER
+
+
+@pytest.mark.parametrize("broadcast", [8_000_000, 0])
+def test_texts_without_blanks(spark, broadcast):
+    """What is said late in an unbroken text, or late in a long word, counts."""
+    rng = np.random.default_rng(5)
+    filler = lambda n: "".join(rng.choice(list("天地人日月山水火木金土石田川"), n))
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 4 == 0
+        text = filler(30 + i % 7) + ("罵詈雑言" if bad else "") + filler(5) if i % 2 == 0 else f"ordinary words and gegenstand{'schimpf' if i % 3 == 0 else 'freund'}"
+        rows.append((i, text))
+        labels.append((i, int(bad if i % 2 == 0 else i % 3 == 0)))
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), broadcast=broadcast).collect()
+    held = [(r["predicted"], labels[r["doc_id"]][1]) for r in got if r["held_out"]]
+    assert len(held) > 40 and sum(p == t for p, t in held) >= 0.95 * len(held)
+
+
 def corpus(spark):
     rows = [(i, f"w{i % 7} common words here " * 3 + ("zorgle qwix" if i % 4 == 0 else "")) for i in range(200)]
     rows += [rows[5], rows[5], (200, None), (None, "zorgle"), (201, "")]
