@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Table, blocks, body, in_arrow, row_slices, small_side, text_bytes
+from .common import Table, blocks, body, in_arrow, row_slices, settle, small_side, text_bytes
 
 KEY = 28
 #: Bytes of text worked on at once, so that the arrays over them stay in the processor's cache; longer texts are cut.
@@ -323,6 +323,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield counted(held)
 
     bitmap, bits, expected = repeat_filter(in_arrow(docs.select("text"), keys, "h long, n int"))
+    settle(docs.sparkSession, executors=True)  # the heaps that the filter's job filled shrink before Python workers hold segments
     sent = docs.sparkSession.sparkContext.broadcast((bitmap, bits))
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     segment = T.StructType([T.StructField("h", T.LongType()), id_field, T.StructField("tag", T.LongType()), T.StructField("place", T.LongType()), T.StructField("part", T.BinaryType())])
@@ -456,7 +457,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([y for _, y in both], pa.list_(pa.int64()))], names=["doc_id", "tag", "lo", "hi"])
 
     out = T.StructType([id_field, T.StructField("tag", T.LongType()), T.StructField("lo", T.ArrayType(T.LongType())), T.StructField("hi", T.ArrayType(T.LongType()))])
-    return Table(in_arrow(listed, join_ranges, out), "spans").df
+    spans = Table(in_arrow(listed, join_ranges, out), "spans").df
+    sent.destroy()
+    return spans
 
 
 def repeats(h: np.ndarray) -> np.ndarray:
@@ -500,6 +503,18 @@ def dense_ranks(*columns: pa.Array) -> np.ndarray:
     return rank
 
 
+def without(data: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """data[off[i]:off[i + 1]] of each i less the ranges data[lo:hi], which do not overlap, as a binary array. It is made from buffers, as
+    pa.array never lets go of the memory beneath a memoryview, so that a worker would keep all texts that it has read."""
+    if len(lo):
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[lo] += 1
+        edge[hi] -= 1
+        keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+        data, off = data[keep], np.r_[0, np.cumsum(keep)][off]
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, spans_lo, spans_hi (byte ranges removed), kept binary (the rest)."""
     spans = repeated_spans(docs, id_col, text_col, width)
@@ -511,14 +526,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches, "text"):
-            view, kept = memoryview(np.ascontiguousarray(data)), []
             lo, hi = (pc.coalesce(rows.column(i), pa.scalar([], rows.column(i).type)) for i in (2, 3))
-            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-                if len(lo[i]):
-                    cuts = [0, *(x for p in zip(lo[i].as_py(), hi[i].as_py()) for x in p), b - a]
-                    kept.append(b"".join(view[a + x : a + y] for x, y in zip(cuts[::2], cuts[1::2])))
-                else:
-                    kept.append(view[a:b])
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(arrow.field(0).type), pa.array(np.diff(off)), lo, hi, pa.array(kept, pa.binary())], schema=arrow)
+            text = off[pc.list_parent_indices(lo).to_numpy()]
+            kept = without(data, off, text + pc.list_flatten(lo).to_numpy(), text + pc.list_flatten(hi).to_numpy())
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(arrow.field(0).type), pa.array(np.diff(off)), lo, hi, kept], schema=arrow)
 
     return in_arrow(joined, run, out)

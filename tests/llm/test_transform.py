@@ -1,8 +1,11 @@
 """The collection transform against sorted suffixes, and repeated strings at the edges of what a task reads at once."""
 
+import gc
 import random
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loam.llm import suffix_dedup
@@ -75,6 +78,23 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     assert got == {i: bytes(np.frombuffer(b, np.uint8)[~gone]) for i, (b, gone) in brute(rows).items()}
 
 
+def test_workers_let_go_of_the_texts(spark, monkeypatch):
+    made, in_arrow = [], suffix_dedup.in_arrow
+    monkeypatch.setattr(suffix_dedup, "in_arrow", lambda df, run, schema: made.append(run) or in_arrow(df, run, schema))
+    remove_repeats(spark.createDataFrame([(0, "a")], "doc_id long, text string"))
+    data = np.frombuffer(b"abcdefghij" * 10, np.uint8).copy()
+    held = weakref.ref(data)
+    texts = pa.Array.from_buffers(pa.string(), 5, [None, pa.py_buffer(np.array([0, 40, 40, 50, 70, 100], np.int32)), pa.py_buffer(data)])
+    lo, hi = (pa.array(x, pa.list_(pa.int64())) for x in ([None, None, [0], [1, 15], []], [None, None, [10], [12, 20], []]))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(5)), texts, lo, hi], names=["doc_id", "text", "lo", "hi"])
+    del data, texts
+    got = [x for b in made[-1](iter([rows.slice(1), rows.slice(0, 2)])) for x in b.column(4).to_pylist()]
+    assert got == [b"", b"", b"acde", b"abcdefghij" * 3, b"abcdefghij" * 4, b""]
+    del rows
+    gc.collect()
+    assert held() is None
+
+
 def test_refuses_widths_that_do_not_fit(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     for width in (27, 142):
