@@ -141,10 +141,11 @@ class CollectionTransform:
 
     def __init__(self, m: int, piece: int = 1 << 20):
         self.m = self.size = m
-        self.piece = piece
+        self.piece = min(piece, 1 << 23)  # a place takes 23 bits of a key
         self.last = np.arange(m)
         self.order = np.arange(0)  # the strings that have symbols, by place of their latest suffix
         self.transform, self.common = (self._file(np.full(m, x, np.uint8)) for x in (NONE, 0))
+        self.spare = self._file(), self._file()  # each round writes over what the round before the last one wrote, which is no longer
 
     @staticmethod
     def _file(content: np.ndarray | None = None) -> BinaryIO:
@@ -191,45 +192,51 @@ class CollectionTransform:
             i, j = np.searchsorted(at, (x, x + n))
             b = b.copy()
             b[at[i:j] - x] = symbol[i:j]
-            filled = np.zeros(n, bool)
-            filled[at[i:j] - x] = True
-            by = np.argsort(b, kind="stable")
-            ends = np.searchsorted(b, np.arange(256, dtype=np.uint8), side="right", sorter=by)
-            ends[NONE] = ends[NONE - 1]
-            count = np.diff(ends, prepend=0)
-            by = by[: ends[NONE]]
+            key = b.astype(np.uint32) << np.uint32(24) | np.arange(0, 2 * n, 2, dtype=np.uint32)  # symbol, place, whether it is filled now
+            key[at[i:j] - x] |= np.uint32(1)
+            key.sort()
+            begin = np.searchsorted(key, np.arange(256, dtype=np.uint32) << np.uint32(24))
+            ends = np.append(begin[1:], begin[NONE])
+            count = ends - begin
+            key = key[: ends[NONE]]
             here = np.flatnonzero(count)
-            first, end = (ends - count)[here], ends[here]
-            new = filled[by]
+            first, end = begin[here], ends[here]
+            new = (key & np.uint32(1)).astype(bool)
             wanted = new.copy()
             wanted[1:] |= new[:-1]
             wanted[first] = new[first] | fresh[here]
             k = np.flatnonzero(wanted)
             if len(k):
-                s = b[by[k]].astype(np.int64)
+                s = (key[k] >> np.uint32(24)).astype(np.int64)
                 low = np.append(c, np.uint8(255))
-                head = np.zeros(len(by), bool)
+                head = np.zeros(len(key), bool)
                 head[first] = True
                 head = head[k]
-                span = np.stack((np.where(head, 0, by[k - 1] + 1), by[k] + 1), axis=1).ravel()
+                y = self._places(key[k])
+                span = np.stack((np.where(head, 0, self._places(key[k - 1]) + 1), y + 1), axis=1).ravel()
                 value = np.minimum.reduceat(low, span)[::2].astype(np.int64)
                 value = np.where(head, np.where(self.total[s] > 0, np.minimum(value, least[s]), -1), value) + 1
                 string = np.full(len(k), -1)
-                string[new[k]] = owner[i + np.searchsorted(at[i:j], x + by[k[new[k]]])]
-                found.append((s, self.total[s] + k - (ends - count)[s], value, string))
+                string[new[k]] = owner[i + np.searchsorted(at[i:j], x + y[new[k]])]
+                found.append((s, self.total[s] + k - begin[s], value, string))
             self.total += count
             if x + n == self.size:
                 break
             after = np.append(np.minimum.accumulate(c[::-1])[::-1], np.uint8(255)).astype(np.int64)
             least = np.minimum(least, after[0])
-            least[here] = after[by[end - 1] + 1]
+            least[here] = after[self._places(key[end - 1]) + 1]
             fresh[here] = new[end - 1]
         return found
 
+    @staticmethod
+    def _places(key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint32(1) & np.uint32((1 << 23) - 1)).astype(np.int64)
+
     def _rewrite(self, at: np.ndarray, symbol: np.ndarray, new: np.ndarray, place: np.ndarray, common: np.ndarray) -> None:
         """The second pass: the files with the symbols filled in, the new suffixes (at `new`) and the common prefixes of `place`."""
-        transform, prefixes = self._file(), self._file()
-        self.transform.seek(0), self.common.seek(0)
+        transform, prefixes = self.spare
+        for f in (self.transform, self.common, *self.spare):
+            f.seek(0)
         read = 0
         for x in range(0, self.size + len(new), self.piece):
             n = min(self.piece, self.size + len(new) - x)
@@ -248,11 +255,12 @@ class CollectionTransform:
             i, j = np.searchsorted(place, (x, x + n))
             out[place[i:j] - x] = common[i:j]
             prefixes.write(out.tobytes())
-        self.transform.close(), self.common.close()
+        self.spare = self.transform, self.common
         self.transform, self.common = transform, prefixes
 
     def close(self) -> None:
-        self.transform.close(), self.common.close()
+        for f in (self.transform, self.common, *self.spare):
+            f.close()
 
 
 def mark_collection(parts: pa.Array, lo_col: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
