@@ -26,8 +26,10 @@ def best(scored: DataFrame, top: int, by: tuple[str, ...] = ("query_id",), key:
 
 def knn(table: DataFrame, queries: DataFrame, top: int, key: tuple[str, ...] = CHUNK_KEY, dims: str = "embedding") -> DataFrame:
     """queries(query_id, vector), a handful -> (query_id, key, score, rank) by cosine; rows without a vector are left out."""
-    pairs = table.filter(F.col(dims).isNotNull()).select(*key, dims).crossJoin(F.broadcast(queries))
-    scored = pairs.select("query_id", *key, F.round(tx.cosine(F.col(dims), F.col("vector")), 6).alias("score")).filter("score is not null")
+    rows = table.filter(F.col(dims).isNotNull()).select(*key, dims, tx.norm(F.col(dims)).alias("_norm"))
+    pairs = rows.crossJoin(F.broadcast(queries.select("query_id", "vector", tx.norm(F.col("vector")).alias("_asked"))))
+    cosine = tx.dot(F.col(dims), F.col("vector")) / F.nullif(F.col("_norm") * F.col("_asked"), F.lit(0.0))
+    scored = pairs.select("query_id", *key, F.round(cosine, 6).alias("score")).filter("score is not null")
     return best(scored, top, key=key)
 
 
